@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-TOPICS = ["history"]
+TOPICS = ["history", "tracking"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -78,3 +78,29 @@ def with_previous(
         .withColumnRenamed("_lag", name)
         .drop("_chunk", "_value", "_at", "_last")
     )
+
+
+def with_next(
+    df: DataFrame, keys: list[str], chunk: Column, order: list[str], value: Column, name: str
+) -> DataFrame:
+    """First non-null ``value`` strictly after each row of a key.
+
+    ``order`` names ascending columns; ``chunk`` must be non-null and must not
+    decrease along them.
+    """
+    rows = df.withColumn("_chunk", chunk).withColumn("_value", value)
+    heads = rows.groupBy(*keys, "_chunk").agg(
+        F.min_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_head")
+    )
+    back = Window.partitionBy(*keys).orderBy(F.col("_chunk").desc())
+    earlier = (Window.unboundedPreceding, -1)
+    carried = heads.select(
+        *keys, "_chunk", F.last("_head", ignorenulls=True).over(back.rowsBetween(*earlier)).alias("_carry")
+    )
+    inner = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).desc() for c in order])
+    return (
+        rows.withColumn("_near", F.last("_value", ignorenulls=True).over(inner.rowsBetween(*earlier)))
+        .join(carried, [*keys, "_chunk"])
+        .withColumn(name, F.coalesce("_near", "_carry"))
+        .drop("_chunk", "_value", "_near", "_carry")
+    )

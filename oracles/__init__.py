@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["history"]
+TOPICS = ["history", "tracking"]
 
 
 def all_sql() -> dict[str, str]:
