@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-TOPICS = ["history", "tracking"]
+TOPICS = ["history", "tracking", "market"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -111,10 +111,30 @@ SELECT p_partkey AS id, upper(p_brand) AS brand, upper(p_name) AS model,
   concat('https://example.com/vehicule/', cast(p_partkey AS varchar(20)), '/') AS source_url,
   cast(p_size % 10 AS bigint) AS auction_id
 FROM part
+""",
+    # Incoming records to resolve against fx_vehicles.
+    "fx_records": """
+SELECT p_partkey AS id, upper(p_brand) AS brand, upper(p_name) AS model,
+  concat(p_type, ' ', cast(60 + (p_size % 8) * 20 AS varchar(5)), ' ch BVA8 ', CASE WHEN p_partkey % 2 = 0 THEN 'Business' ELSE 'Active' END) AS version,
+  cast(2000 + p_size % 20 + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END AS bigint) AS year,
+  CASE p_partkey % 5 WHEN 0 THEN concat('R', cast(p_partkey % 500 AS varchar(10))) WHEN 1 THEN concat('X', cast(p_partkey AS varchar(10))) END AS reference,
+  CASE p_partkey % 4 WHEN 0 THEN concat('v', cast(p_partkey AS varchar(20))) WHEN 1 THEN concat('v', cast(p_partkey + 3 AS varchar(20))) ELSE concat('n', cast(p_partkey AS varchar(20))) END AS hash_id,
+  cast((p_partkey * 37) % 20000 + (p_partkey % 7) * 400 AS bigint) AS mileage,
+  CASE WHEN p_partkey % 3 = 0 THEN 'GRIS' ELSE 'noir' END AS color,
+  CASE WHEN p_partkey % 2 = 0 THEN 'GO' ELSE 'ES' END AS fuel,
+  CASE p_partkey % 4 WHEN 0 THEN 'BVA8' WHEN 1 THEN 'BVM6' ELSE '' END AS transmission,
+  CASE WHEN p_partkey % 2 = 0 THEN cast(1000 + (p_size % 5) * 200 AS bigint) END AS engine_size,
+  CASE WHEN p_partkey % 3 <> 1 THEN cast(60 + (p_size % 8) * 20 AS bigint) END AS power,
+  cast(NULL AS bigint) AS fiscal_power,
+  CASE WHEN p_partkey % 41 = 0 THEN concat('ct', cast(p_partkey % 31 AS varchar(10))) END AS technical_check_url,
+  cast(NULL AS varchar(10)) AS condition_image_url,
+  CASE WHEN p_partkey % 10 = 0 THEN concat('cdn', cast(p_partkey % 70 AS varchar(10))) END AS photo_hash
+FROM part
 """,
     # Auction lists and sold comparables.
     "fx_lots": """
-SELECT l.l_orderkey * 10 + l.l_linenumber AS id, l.l_orderkey AS auction_id,
+SELECT concat(cast(l.l_orderkey AS varchar(20)), '-', cast(l.l_linenumber AS varchar(20)), '-', cast(l.l_partkey AS varchar(20)), '-', cast(l.l_suppkey AS varchar(20))) AS id,
+  l.l_orderkey AS auction_id,
   concat('s', cast(p.p_partkey AS varchar(20))) AS hash_id,
   upper(p.p_brand) AS brand, upper(p.p_name) AS model, cast(2000 + p.p_size % 20 AS bigint) AS year, p.p_partkey AS vehicle_id,
   n.n_name AS city, cast(l.l_shipdate AS timestamp) AS scraped_at,

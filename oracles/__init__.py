@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["history", "tracking"]
+TOPICS = ["history", "tracking", "market"]
 
 
 def all_sql() -> dict[str, str]:
