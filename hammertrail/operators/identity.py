@@ -29,63 +29,83 @@ STRONG, STRONG_CLOSE, STRONG_CLOSE_KM = 70, 55, 3000
 HASH_SCORE = 50
 # ----------------------------------------------------------------------------
 
-# Attributes an incoming record is compared on.
-INPUT = [
-    "brand", "model", "version", "year", "mileage", "color", "fuel", "transmission", "engine_size",
-    "power", "fiscal_power", "technical_check_url", "condition_image_url", "photo_hash",
-]
-# Attributes of a stored entity and of its latest snapshot.
-OWN = ["brand", "model", "version", "year", "color", "fuel", "transmission", "engine_size", "power", "fiscal_power"]
-LATEST = [
-    "mileage", "color", "fuel", "transmission", "engine_size", "power", "fiscal_power",
-    "technical_check_url", "condition_image_url", "photo_hash",
+# Attributes that decide a score, in the same form for incoming and stored.
+SCORED = [
+    "brand_block", "brand_key", "model_tokens", "version_tokens", "year", "km", "fuel", "gearbox", "colour",
+    "engine", "power", "fiscal", "check", "condition", "photo",
 ]
 
 
-def as_inputs(entities: DataFrame) -> DataFrame:
-    """A stored entity read as an incoming record: snapshot values first."""
-    cols = {c: F.col(c) for c in ["id", "reference", "brand", "model", "version", "year"]}
-    cols["mileage"] = F.coalesce("l_mileage", F.lit(0))
-    for c in ["color", "fuel", "transmission", "engine_size", "power", "fiscal_power"]:
-        cols[c] = F.coalesce(f"l_{c}", c)
-    for c in ["technical_check_url", "condition_image_url", "photo_hash"]:
-        cols[c] = F.col(f"l_{c}")
-    return entities.select(*[v.alias(k) for k, v in cols.items()])
+def _record(df: DataFrame, block: Column, given: dict[str, Column]) -> DataFrame:
+    """Bring one side into the form of ``SCORED``; keeps id and reference.
 
+    Texts become normalised keys, and '' and 0 become NULL, so that two
+    attributes agree exactly when they are equal.
+    """
 
-def _equal(a: Column, b: Column) -> Column:
-    """Equal, and neither NULL nor ''."""
-    return F.coalesce(blank_to_null(a) == blank_to_null(b), F.lit(False))
+    def text(name: str) -> Column:
+        return blank_to_null(normalize_key(given[name]))
+
+    cols = {
+        "brand_block": block,
+        "brand_key": normalize_key(F.col("brand")),
+        "model_tokens": tokens(F.col("model")),
+        "version_tokens": tokens(F.col("version")),
+        "year": F.col("year"),
+        "km": given["mileage"],
+        "fuel": text("fuel"),
+        "gearbox": text("transmission"),
+        "colour": text("color"),
+        "engine": P.known(given["engine_size"]),
+        "power": P.known(given["power"]),
+        "fiscal": P.known(given["fiscal_power"]),
+        "check": blank_to_null(given["technical_check_url"]),
+        "condition": blank_to_null(given["condition_image_url"]),
+        "photo": blank_to_null(given["photo_hash"]),
+    }
+    reference = blank_to_null(F.col("reference")).alias("reference")
+    return df.select("id", reference, *[v.alias(k) for k, v in cols.items()])
 
 
-def _equal_number(a: Column, b: Column) -> Column:
-    return F.coalesce(P.known(a) == P.known(b), F.lit(False))
+TEXTS = ["color", "fuel", "transmission"]
+NUMBERS = ["engine_size", "power", "fiscal_power"]
+MARKS = ["technical_check_url", "condition_image_url", "photo_hash"]
 
 
-def identity_score(i: dict[str, Column], c: dict[str, Column]) -> dict[str, Column]:
-    """Score, reasons and km difference of incoming ``i`` against stored ``c``.
+def incoming(records: DataFrame, block: Column) -> DataFrame:
+    """Incoming records in scored form."""
+    return _record(records, block, {c: F.col(c) for c in ["mileage", *TEXTS, *NUMBERS, *MARKS]})
 
-    ``c`` maps own attributes, ``l_`` attributes, ``reference``; an entity
-    without a snapshot has ``l_mileage`` NULL.
-    """
 
-    def text(name: str) -> Column:
-        stored = F.coalesce(blank_to_null(c[name]), blank_to_null(c["l_" + name]))
-        same = normalize_key(stored) == normalize_key(i[name])
-        return F.coalesce(
-            blank_to_null(i[name]).isNotNull() & (normalize_key(stored) != "") & same, F.lit(False)
-        )
+def stored(entities: DataFrame, block: Column) -> DataFrame:
+    """Stored entities in scored form: own facts first, then the snapshot's."""
+    given = {c: F.col("l_" + c) for c in ["mileage", *MARKS]}
+    given |= {c: F.coalesce(blank_to_null(F.col(c)), blank_to_null(F.col("l_" + c))) for c in TEXTS}
+    given |= {c: F.coalesce(c, "l_" + c) for c in NUMBERS}
+    return _record(entities, block, given)
+
+
+def stored_as_incoming(entities: DataFrame, block: Column) -> DataFrame:
+    """Stored entities read as incoming records: the snapshot's facts first."""
+    given = {c: F.col("l_" + c) for c in MARKS}
+    given["mileage"] = F.coalesce("l_mileage", F.lit(0))
+    given |= {c: F.coalesce("l_" + c, c) for c in [*TEXTS, *NUMBERS]}
+    return _record(entities, block, given)
 
-    def number(name: str) -> Column:
-        return _equal_number(i[name], F.coalesce(c[name], c["l_" + name]))
 
-    km = F.abs(c["l_mileage"] - i["mileage"])
-    check = _equal(i["technical_check_url"], c["l_technical_check_url"])
-    condition = _equal(i["condition_image_url"], c["l_condition_image_url"])
-    photo = _equal(i["photo_hash"], c["l_photo_hash"])
-    fingerprint = check | condition | photo
-    fuel, gearbox, colour = text("fuel"), text("transmission"), text("color")
-    engine, power, fiscal = number("engine_size"), number("power"), number("fiscal_power")
+def _agree(a: Column, b: Column) -> Column:
+    return F.coalesce(a == b, F.lit(False))
+
+
+def identity_score(i: dict[str, Column], c: dict[str, Column]) -> dict[str, Column]:
+    """Score, reasons and km difference of incoming ``i`` against stored ``c``.
+
+    Both map ``SCORED`` and reference to columns. An entity without a snapshot
+    has ``km`` NULL.
+    """
+    km = F.abs(c["km"] - i["km"])
+    same = {n: _agree(i[n], c[n]) for n in SCORED[6:]}
+    fingerprint = same["check"] | same["condition"] | same["photo"]
     model = overlap(c["model_tokens"], i["model_tokens"])
     version = overlap(c["version_tokens"], i["version_tokens"])
     years = F.abs(c["year"] - i["year"])
@@ -96,59 +116,58 @@ def identity_score(i: dict[str, Column], c: dict[str, Column]) -> dict[str, Colu
         (years == 0, YEAR_POINTS[0], "same_year"),
         (years == 1, YEAR_POINTS[1], "year_plus_minus_1"),
     ]
-    upper = F.lit(True)
+    below = F.lit(True)
     for limit, value, reason in VERSION_BANDS:
-        signals.append((upper & (version >= limit), value, reason))
-        upper = version < limit
-    lower = F.lit(-1)
+        signals.append((below & (version >= limit), value, reason))
+        below = version < limit
+    above = -1
     for limit, value, reason in KM_BANDS:
-        signals.append((F.coalesce((km > lower) & (km <= limit), F.lit(False)), value, reason))
-        lower = F.lit(limit)
+        signals.append((F.coalesce((km > above) & (km <= limit), F.lit(False)), value, reason))
+        above = limit
     signals += [
-        (fuel, FUEL, "same_fuel"), (gearbox, GEARBOX, "same_transmission"), (colour, COLOUR, "same_color"),
-        (engine, ENGINE, "same_engine_size"), (power, POWER, "same_power"), (fiscal, FISCAL, "same_fiscal_power"),
-        (check, CHECK, "same_technical_check"), (condition, CONDITION, "same_condition_sheet"),
-        (photo, PHOTO, "same_photo_hash"),
+        (same["fuel"], FUEL, "same_fuel"), (same["gearbox"], GEARBOX, "same_transmission"),
+        (same["colour"], COLOUR, "same_color"), (same["engine"], ENGINE, "same_engine_size"),
+        (same["power"], POWER, "same_power"), (same["fiscal"], FISCAL, "same_fiscal_power"),
+        (same["check"], CHECK, "same_technical_check"), (same["condition"], CONDITION, "same_condition_sheet"),
+        (same["photo"], PHOTO, "same_photo_hash"),
     ]
     points = F.lit(0)
     for cond, value, _ in signals:
         points = points + F.when(cond, F.lit(value)).otherwise(F.lit(0))
     named = [F.when(cond, F.lit(reason)) for cond, _, reason in signals]
 
-    i_ref, c_ref = blank_to_null(i["reference"]), blank_to_null(c["reference"])
-    both_refs = i_ref.isNotNull() & c_ref.isNotNull()
-    crossed = both_refs & (i_ref != c_ref)
+    both_refs = i["reference"].isNotNull() & c["reference"].isNotNull()
+    crossed = both_refs & (i["reference"] != c["reference"])
     near = F.coalesce(km <= KM_PROOF, F.lit(False))
-    stops = [
-        (normalize_key(c["brand"]) != normalize_key(i["brand"]), "brand_mismatch"),
-        (model < MODEL_MIN, "model_mismatch"),
-        (years > 1, "year_mismatch"),
-    ]
-    gates = [
-        (F.coalesce(km > KM_GAP, F.lit(False)) & ~fingerprint, "mileage_gap_without_fingerprint"),
-        (crossed & ~fingerprint & ~near, "different_reference_without_proof"),
-        (~both_refs & ~fingerprint & ~power & ~gearbox & ~engine, "no_reference_no_discriminator"),
-    ]
-    accepted = F.when(crossed, F.lit("cross_reference_accepted"))
-    score, reasons = points, F.array_compact(F.array(*named, accepted))
-    for cond, reason in reversed(gates):
-        score = F.when(cond, F.lit(0)).otherwise(score)
-        reasons = F.when(cond, F.array_compact(F.array(*named, F.lit(reason)))).otherwise(reasons)
-    for cond, reason in reversed(stops):
-        score = F.when(cond, F.lit(0)).otherwise(score)
-        reasons = F.when(cond, F.array(F.lit(reason))).otherwise(reasons)
-    return {"score": score, "reasons": reasons, "km_diff": km}
+    spec = same["power"] | same["gearbox"] | same["engine"]
+    stop = (
+        F.when(c["brand_key"] != i["brand_key"], F.lit("brand_mismatch"))
+        .when(model < MODEL_MIN, F.lit("model_mismatch"))
+        .when(years > 1, F.lit("year_mismatch"))
+    )
+    gate = (
+        F.when(F.coalesce(km > KM_GAP, F.lit(False)) & ~fingerprint, F.lit("mileage_gap_without_fingerprint"))
+        .when(crossed & ~fingerprint & ~near, F.lit("different_reference_without_proof"))
+        .when(~both_refs & ~fingerprint & ~spec, F.lit("no_reference_no_discriminator"))
+    )
+    closing = F.coalesce(gate, F.when(crossed, F.lit("cross_reference_accepted")))
+    return {
+        "score": F.when(stop.isNotNull() | gate.isNotNull(), F.lit(0)).otherwise(points),
+        "reasons": F.when(stop.isNotNull(), F.array(stop)).otherwise(F.array_compact(F.array(*named, closing))),
+        "km_diff": km,
+    }
 
 
 def is_strong(score: Column, km: Column) -> Column:
     return (score >= STRONG) | F.coalesce((score >= STRONG_CLOSE) & (km <= STRONG_CLOSE_KM), F.lit(False))
 
 
-def _with_tokens(df: DataFrame) -> DataFrame:
-    """Token sets, and the tokens of the model of which a match needs one.
+def _keyed(df: DataFrame, prefix: str) -> DataFrame:
+    """Prefix the columns and add the model tokens of which a match needs one.
 
     Two sets that share 60 % of the larger one share a token among the first
-    ``n - ceil(0.6 n) + 1`` of each, in any fixed order.
+    ``n - ceil(0.6 n) + 1`` of each, in any fixed order; longer tokens, being
+    rarer, come first here.
     """
     ordered = F.transform(
         F.sort_array(F.transform("model_tokens", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))),
@@ -156,17 +175,13 @@ def _with_tokens(df: DataFrame) -> DataFrame:
     )
     n = F.size("model_tokens")
     # ceil(0.6 n) in whole numbers: floor((3 n + 4) / 5)
-    need = n - F.floor((n * 3 + 4) / 5).cast("int") + 1
-    return (
-        df.withColumn("model_tokens", tokens(F.col("model")))
-        .withColumn("version_tokens", tokens(F.col("version")))
-        .withColumn("brand_key", F.upper("brand"))
-        .withColumn("_prefix", F.slice(ordered, F.lit(1), F.when(n > 0, need).otherwise(0)))
-    )
+    need = F.when(n > 0, n - F.floor((n * 3 + 4) / 5).cast("int") + 1).otherwise(0)
+    keyed = df.withColumn("leads", F.slice(ordered, F.lit(1), need))
+    return keyed.select(*[F.col(c).alias(prefix + c) for c in keyed.columns])
 
 
-def candidate_pairs(inputs: DataFrame, stored: DataFrame) -> DataFrame:
-    """Every (input, stored) pair that the identity score can accept, once.
+def candidate_pairs(inputs: DataFrame, known: DataFrame) -> DataFrame:
+    """Every (incoming, stored) pair that the score can accept, once.
 
     Accepted pairs agree on brand, on a model token and on the year within
     one, and fall into exactly one of these cases:
@@ -177,72 +192,63 @@ def candidate_pairs(inputs: DataFrame, stored: DataFrame) -> DataFrame:
     * a reference is missing, mileage within 5000 km or unknown, and power,
       gearbox or engine agrees.
 
-    Columns come back as i_* and c_*.
+    Both sides are in scored form and are written once, since every case reads
+    them. Columns come back as i_* and c_*.
     """
-    i = _with_tokens(inputs)
-    c = _with_tokens(stored)
-    i = i.select(*[F.col(x).alias("i_" + x) for x in i.columns]).withColumns({
-        "_token": F.explode("i__prefix"),
-    }).withColumn("_year", F.explode(F.array(*[F.col("i_year") + d for d in (-1, 0, 1)])))
-    c = c.select(*[F.col(x).alias("c_" + x) for x in c.columns]).withColumn(
-        "_token", F.explode("c__prefix")
-    ).withColumn("_year", F.col("c_year"))
-    i = i.withColumn("_brand", F.col("i_brand_key"))
-    c = c.withColumn("_brand", F.col("c_brand_key"))
+    i = cut_lineage(_keyed(inputs, "i_")).withColumns(
+        {"_brand": F.col("i_brand_block"), "_token": F.explode("i_leads")}
+    ).withColumn("_year", F.explode(F.array(*[F.col("i_year") + d for d in (-1, 0, 1)])))
+    c = cut_lineage(_keyed(known, "c_")).withColumns(
+        {"_brand": F.col("c_brand_block"), "_token": F.explode("c_leads"), "_year": F.col("c_year")}
+    )
     base = ["_brand", "_year", "_token"]
-    # A pair that shares several prefix tokens is taken at the first one.
-    once = F.col("_token") == F.array_min(F.array_intersect("i__prefix", "c__prefix"))
-
-    marks = ["technical_check_url", "condition_image_url", "photo_hash"]
-    same_mark = [_equal(F.col(f"i_{m}"), F.col(f"c_l_{m}")) for m in marks]
-    marked = same_mark[0] | same_mark[1] | same_mark[2]
-    i_ref, c_ref = blank_to_null(F.col("i_reference")), blank_to_null(F.col("c_reference"))
-    both = i_ref.isNotNull() & c_ref.isNotNull()
-
-    def joined(left: DataFrame, right: DataFrame, extra: list[str]) -> DataFrame:
-        return left.join(right, [*base, *extra]).filter(once).drop(*base, *extra)
-
-    def near(width: int) -> tuple[Column, Column]:
-        spot = F.floor(F.col("i_mileage") / width)
-        around = F.explode(F.array(spot - 1, spot, spot + 1, F.lit(None).cast("bigint")))
-        return around, F.floor(F.col("c_l_mileage") / width)
+    # A pair that shares several leading tokens is taken at the first one.
+    once = F.col("_token") == F.array_min(F.array_intersect("i_leads", "c_leads"))
+    marks = ["check", "condition", "photo"]
+    marked = F.lit(False)
+    for mark in marks:
+        marked = marked | _agree(F.col(f"i_{mark}"), F.col(f"c_{mark}"))
+    both = F.col("i_reference").isNotNull() & F.col("c_reference").isNotNull()
+
+    def case(mine: dict[str, Column], theirs: dict[str, Column], only: Column) -> DataFrame:
+        """Equi join on the base key and the given columns, which must be known."""
+        left, right = i, c
+        for name, col in mine.items():
+            left = left.withColumn(name, col).filter(F.col(name).isNotNull())
+        for name, col in theirs.items():
+            right = right.withColumn(name, col).filter(F.col(name).isNotNull())
+        return left.join(right, [*base, *mine]).filter(once & only).drop(*base, *mine)
+
+    parts, earlier = [], F.lit(False)
+    for mark in marks:
+        mine, theirs = F.col(f"i_{mark}"), F.col(f"c_{mark}")
+        parts.append(case({"_key": mine}, {"_key": theirs}, ~earlier))
+        earlier = earlier | _agree(mine, theirs)
+
+    def cells(width: int, extra: list[Column]) -> Column:
+        spot = F.floor(F.col("i_km") / width)
+        return F.explode(F.array(spot - 1, spot, spot + 1, *extra))
+
+    i_ref, c_ref = F.col("i_reference"), F.col("c_reference")
+    parts.append(
+        case(
+            {"_cell": cells(KM_PROOF, [])}, {"_cell": F.floor(F.col("c_km") / KM_PROOF)},
+            ~marked & both & (i_ref != c_ref),
+        )
+    )
+    parts.append(case({"_key": i_ref}, {"_key": c_ref}, ~marked))
 
-    parts = []
-    earlier = F.lit(False)
-    for mark, agrees in zip(marks, same_mark):
-        left = i.filter(blank_to_null(F.col(f"i_{mark}")).isNotNull()).withColumn("_mark", F.col(f"i_{mark}"))
-        right = c.filter(blank_to_null(F.col(f"c_l_{mark}")).isNotNull()).withColumn("_mark", F.col(f"c_l_{mark}"))
-        parts.append(joined(left, right, ["_mark"]).filter(~earlier))
-        earlier = earlier | agrees
-
-    around, spot = near(KM_PROOF)
-    left = i.filter(i_ref.isNotNull()).withColumn("_km", around).filter(F.col("_km").isNotNull())
-    right = c.filter(c_ref.isNotNull()).withColumn("_km", spot).filter(F.col("_km").isNotNull())
-    parts.append(joined(left, right, ["_km"]).filter(~marked & both & (i_ref != c_ref)))
-
-    left = i.filter(i_ref.isNotNull()).withColumn("_ref", i_ref)
-    right = c.filter(c_ref.isNotNull()).withColumn("_ref", c_ref)
-    parts.append(joined(left, right, ["_ref"]).filter(~marked))
-
-    around, spot = near(KM_GAP)
     # Unknown mileage is a cell of its own, outside those of known ones.
-    i_near = i.withColumn("_km", around).withColumn("_km", F.coalesce("_km", F.lit(-999)))
-    c_near = c.withColumn("_km", F.coalesce(spot, F.lit(-999)))
-    specs = {
-        "power": (F.col("i_power"), F.coalesce("c_power", "c_l_power")),
-        "engine": (F.col("i_engine_size"), F.coalesce("c_engine_size", "c_l_engine_size")),
-        "gearbox": (
-            normalize_key(F.col("i_transmission")),
-            normalize_key(F.coalesce(blank_to_null(F.col("c_transmission")), blank_to_null(F.col("c_l_transmission")))),
-        ),
-    }
+    unknown = F.lit(-999).cast("bigint")
+    around = cells(KM_GAP, [unknown])
+    spot = F.coalesce(F.floor(F.col("c_km") / KM_GAP), unknown)
     earlier = F.lit(False)
-    for name, (mine, theirs) in specs.items():
-        empty = F.lit("") if name == "gearbox" else F.lit(0)
-        left = i_near.withColumn("_spec", F.nullif(mine, empty)).filter(F.col("_spec").isNotNull())
-        right = c_near.withColumn("_spec", F.nullif(theirs, empty)).filter(F.col("_spec").isNotNull())
-        parts.append(joined(left, right, ["_km", "_spec"]).filter(~marked & ~both & ~earlier))
-        earlier = earlier | F.coalesce(F.nullif(mine, empty) == F.nullif(theirs, empty), F.lit(False))
+    for spec in ["power", "engine", "gearbox"]:
+        mine, theirs = F.col(f"i_{spec}"), F.col(f"c_{spec}")
+        parts.append(
+            case({"_key": mine, "_cell": around}, {"_key": theirs, "_cell": spot}, ~marked & ~both & ~earlier)
+        )
+        earlier = earlier | _agree(mine, theirs)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -263,23 +269,24 @@ def best_candidate(scored: DataFrame) -> DataFrame:
     return scored.groupBy(F.col("i_id").alias("id")).agg(F.max_by(row, rank).alias("best")).select("id", "best.*")
 
 
-def resolve(records: DataFrame, stored: DataFrame) -> DataFrame:
+def resolve(records: DataFrame, entities: DataFrame) -> DataFrame:
     """Entity of every incoming record.
 
     Cascade: reference, then strong details over the owner of the hash (which
     is then a duplicate), then the hash, then strong details, else new.
     All records of a batch resolve against the same stored entities.
     """
-    refs = stored.filter(blank_to_null(F.col("reference")).isNotNull()).groupBy("reference").agg(
+    refs = entities.filter(blank_to_null(F.col("reference")).isNotNull()).groupBy("reference").agg(
         F.min("id").alias("_by_ref")
     )
-    hashes = stored.filter(blank_to_null(F.col("hash_id")).isNotNull()).groupBy("hash_id").agg(
+    hashes = entities.filter(blank_to_null(F.col("hash_id")).isNotNull()).groupBy("hash_id").agg(
         F.min("id").alias("_by_hash")
     )
     known = records.select("id", "reference", "hash_id").join(refs, "reference", "left").join(hashes, "hash_id", "left")
     open_ids = known.filter(F.col("_by_ref").isNull()).select("id")
     open_records = records.join(open_ids, "id", "left_semi")
-    best = best_candidate(score_pairs(candidate_pairs(open_records, stored))).select(
+    pairs = candidate_pairs(incoming(open_records, F.col("brand")), stored(entities, F.col("brand")))
+    best = best_candidate(score_pairs(pairs)).select(
         "id", F.col("vehicle_id").alias("_best"), F.col("score").alias("_score"),
         F.col("reasons").alias("_reasons"), "km_diff",
     )
@@ -308,54 +315,52 @@ def resolve(records: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def _nodes(entities: DataFrame, cols: list[str]) -> DataFrame:
-    """Entities that agree on ``cols`` as one node with its id range."""
-    sig = F.md5(F.to_json(F.struct(*cols)))
-    return entities.withColumn("sig", sig).groupBy("sig", *cols).agg(
-        F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")
-    )
-
-
 def strong_nodes(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes of equal entities and the strong links between them.
+    """Nodes of equal entities: strong links between them, and their members.
 
     The lower id of a pair is read as the incoming record. A link from node A
     to node B therefore holds for every a in A and b in B with a < b. Of the
-    reference, a node only keeps whether it exists: between different
-    references the score does not depend on which. Nodes that keep the
-    reference itself serve the pairs with equal references.
+    reference, a node only keeps whether it exists: between two different
+    references the score does not depend on which. Pairs with the same
+    reference are found among nodes that keep it.
     """
-    alive = entities.filter(F.col("l_mileage").isNotNull()).withColumn(
-        "reference", blank_to_null(F.col("reference"))
+    alive = entities.filter(F.col("l_mileage").isNotNull())
+    block = F.upper("brand")
+    as_new = stored_as_incoming(alive, block)
+    as_old = stored(alive, block).drop("reference")
+    both = as_new.join(as_old.select("id", *[F.col(c).alias("s_" + c) for c in SCORED]), "id")
+    has_ref = F.col("reference").isNotNull()
+    facts = [*SCORED, *["s_" + c for c in SCORED]]
+    # Different stand-ins on the two sides make existing references differ.
+    plain = both.withColumn("sig", F.md5(F.to_json(F.struct(has_ref.alias("has_ref"), *facts))))
+    shared = both.filter(has_ref).groupBy("reference").agg(F.count("*").alias("_n")).filter("_n > 1").select("reference")
+    named = both.join(shared, "reference", "left_semi").withColumn(
+        "sig", F.md5(F.to_json(F.struct("reference", *facts)))
     )
-    attrs = [*OWN, *["l_" + c for c in LATEST]]
-    # Distinct stand-ins make references of two sides differ.
-    plain = _nodes(alive.withColumn("has_ref", F.col("reference").isNotNull()), [*attrs, "has_ref"])
-
-    def stand_in(df: DataFrame, tag: str) -> DataFrame:
-        return df.withColumn("reference", F.when(F.col("has_ref"), F.lit(tag))).withColumn("id", F.col("sig"))
-
-    def linked(inputs: DataFrame, stored: DataFrame) -> DataFrame:
-        left = as_inputs(inputs).join(inputs.select("id", "sig", "lo", "hi"), "id")
-        scored = score_pairs(candidate_pairs(left, stored))
-        return scored.filter(is_strong(F.col("score"), F.col("km_diff"))).select(
-            F.col("i_sig").alias("a"), F.col("i_lo").alias("a_lo"), F.col("i_hi").alias("a_hi"),
-            F.col("c_sig").alias("b"), F.col("c_lo").alias("b_lo"), F.col("c_hi").alias("b_hi"),
-        ).filter(F.col("a_lo") < F.col("b_hi"))
-
-    different = linked(stand_in(plain, "<"), stand_in(plain, ">"))
-    shared = alive.filter(F.col("reference").isNotNull())
-    repeated = shared.groupBy("reference").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("reference")
-    named = _nodes(shared.join(repeated, "reference", "left_semi"), [*attrs, "reference"]).withColumn("id", F.col("sig"))
-    same = linked(named, named)
-    members = (
-        alive.withColumn("has_ref", F.col("reference").isNotNull())
-        .select("id", F.md5(F.to_json(F.struct(*attrs, "has_ref"))).alias("sig"))
-        .unionByName(
-            shared.select("id", F.md5(F.to_json(F.struct(*attrs, "reference"))).alias("sig"))
+
+    def nodes(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("sig").agg(
+            F.min("id").alias("lo"), F.max("id").alias("hi"),
+            *[F.first(c).alias(c) for c in ["reference", *facts]],
+        )
+
+    def linked(rows: DataFrame, mine: Column, theirs: Column) -> DataFrame:
+        cut = cut_lineage(nodes(rows))
+        keep = ["sig", "lo", "hi"]
+        left = cut.select(F.col("sig").alias("id"), *keep, *SCORED, mine.alias("reference"))
+        right = cut.select(
+            F.col("sig").alias("id"), *keep, *[F.col("s_" + c).alias(c) for c in SCORED], theirs.alias("reference")
         )
+        scored = score_pairs(candidate_pairs(left, right))
+        return scored.filter(is_strong(F.col("score"), F.col("km_diff")) & (F.col("i_lo") < F.col("c_hi"))).select(
+            F.col("i_sig").alias("a"), F.col("i_lo").alias("a_lo"),
+            F.col("c_sig").alias("b"), F.col("c_hi").alias("b_hi"),
+        )
+
+    links = linked(plain, F.when(has_ref, F.lit("<")), F.when(has_ref, F.lit(">"))).unionByName(
+        linked(named, F.col("reference"), F.col("reference"))
     )
-    return different.unionByName(same), members
+    return links, plain.select("id", "sig").unionByName(named.select("id", "sig"))
 
 
 def duplicate_edges(entities: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def key(x: str) -> str:
 
 
 def toks(x: str) -> str:
-    return f"list_filter(list_distinct(string_split({key(x)}, ' ')), t -> t <> '')"
+    return f"list_filter(list_distinct(string_split({key(x)}, ' ')), lambda t: t <> '')"
 
 
 def tok_overlap(a: str, b: str) -> str:
