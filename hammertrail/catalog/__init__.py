@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-TOPICS = ["history", "tracking", "market"]
+TOPICS = ["history", "tracking", "market", "reports", "pages"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

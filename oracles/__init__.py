@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["history", "tracking", "market"]
+TOPICS = ["history", "tracking", "market", "reports", "pages"]
 
 
 def all_sql() -> dict[str, str]:
