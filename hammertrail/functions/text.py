@@ -118,8 +118,11 @@ def model_of(version: Column) -> Column:
 
 
 def first_int(col: Column, pattern: str) -> Column:
-    """First capture of ``pattern`` as an integer, NULL without a match."""
-    return F.regexp_extract(F.coalesce(col, F.lit("")), pattern, 1).try_cast("bigint")
+    """First capture of ``pattern`` as an integer, NULL without a match.
+
+    A failed try_cast raises inside; NULL instead of '' spares that.
+    """
+    return blank_to_null(F.regexp_extract(F.coalesce(col, F.lit("")), pattern, 1)).try_cast("bigint")
 
 
 def parse_year(col: Column) -> Column:
@@ -182,7 +185,7 @@ def json_strings(col: Column) -> Column:
 
 
 def dedup_items(items: Column) -> Column:
-    """Ordered, case-insensitive de-duplication of a string array."""
+    """Ordered, case-insensitive de-duplication of a short string array."""
     lowered = F.transform(items, F.lower)
     return F.filter(
         items, lambda x, i: F.array_position(lowered, F.lower(x)) == (i + 1).cast("bigint")

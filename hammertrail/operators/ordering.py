@@ -28,27 +28,34 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str
     return ranked.filter(F.col(name) <= n)
 
 
-def positions(
-    df: DataFrame, keys: list[str], chunk: Column, order: list[Column], name: str
+def running_total(
+    df: DataFrame, keys: list[str], chunk: Column, order: list[Column], value: Column, name: str
 ) -> DataFrame:
-    """1-based position of each row within its key, in ``order``.
+    """Sum of ``value`` over the rows of a key up to each row, in ``order``.
 
     ``chunk`` must be non-null and must not decrease along ``order``. The
     input is read twice, so hand in a written or cheap frame.
     """
-    rows = df.withColumn("_chunk", chunk)
-    sizes = rows.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
+    rows = df.withColumn("_chunk", chunk).withColumn("_value", value)
+    sums = rows.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    offsets = sums.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.withColumn("_rn", F.row_number().over(inner))
+        rows.withColumn("_sum", F.sum("_value").over(inner))
         .join(offsets, [*keys, "_chunk"])
-        .withColumn(name, F.col("_rn") + F.col("_off"))
-        .drop("_chunk", "_rn", "_off")
+        .withColumn(name, F.col("_sum") + F.col("_off"))
+        .drop("_chunk", "_value", "_sum", "_off")
     )
 
 
+def positions(
+    df: DataFrame, keys: list[str], chunk: Column, order: list[Column], name: str
+) -> DataFrame:
+    """1-based position of each row within its key, in ``order``."""
+    return running_total(df, keys, chunk, order, F.lit(1).cast("bigint"), name)
+
+
 def with_previous(
     df: DataFrame, keys: list[str], chunk: Column, order: list[Column], value: Column, name: str
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hammertrail.functions.text import strip_accents
+from hammertrail.functions.text import first_int, strip_accents
 
 # --- fixed values -----------------------------------------------------------
 # Headers that open the list of major and of minor defects.
@@ -193,7 +193,7 @@ def report_snippet(text: Column) -> dict[str, Column]:
 def quick_summary(*texts: Column) -> dict[str, Column]:
     """Label and tone from free text that mentions an inspection."""
     text = F.lower(strip_accents(F.concat_ws("\n", *texts)))
-    n = F.regexp_extract(text, r"(\d+)\s+(?:defauts?|defaillances?)\s+mineur", 1).try_cast("bigint")
+    n = first_int(text, r"(\d+)\s+(?:defauts?|defaillances?)\s+mineur")
     plural = F.when(n > 1, F.lit("s")).otherwise(F.lit(""))
     counted = F.concat(F.lit("CT · "), n.cast("string"), F.lit(" défaut"), plural, F.lit(" mineur"), plural)
     minor = text.rlike(r"defaillances?\s+mineures?")

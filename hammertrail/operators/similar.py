@@ -380,10 +380,14 @@ def similar_sold(queries: DataFrame, sold: DataFrame, n: int = 50, k: int = 20)
             blank_to_null(x["hash_id"]), F.concat_ws("-", x["brand"], x["model"], x["year"].cast("string"))
         )
 
-    keys = F.transform("_top", listing)
-    rows = rows.withColumn("_keys", keys).withColumn(
-        "_seen", F.filter("_top", lambda x, i: F.array_position("_keys", listing(x)) == (i + 1).cast("bigint"))
+    # One struct for rows and keys: a lambda would evaluate a captured
+    # expression once per element, a captured column costs nothing.
+    rows = rows.withColumn("_both", F.struct(F.col("_top").alias("rows"), F.transform("_top", listing).alias("keys")))
+    seen = F.filter(
+        F.col("_both.rows"),
+        lambda x, i: F.array_position(F.col("_both.keys"), listing(x)) == (i + 1).cast("bigint"),
     )
+    rows = rows.withColumn("_seen", seen)
 
     def flags(x: Column) -> Column:
         year = F.coalesce(F.abs(x["year"] - F.col("year")) <= YEAR_TOLERANCE, F.lit(False))
