@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-TOPICS = ["history", "tracking", "market", "reports", "pages", "ingest"]
+TOPICS = ["history", "tracking", "market", "reports", "pages", "ingest", "streams"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

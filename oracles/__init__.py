@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["history", "tracking", "market", "reports", "pages", "ingest"]
+TOPICS = ["history", "tracking", "market", "reports", "pages", "ingest", "streams"]
 
 
 def all_sql() -> dict[str, str]:
