@@ -188,11 +188,22 @@ def load_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Give a table read from fewer splits than there are cores one per core.
+
+    A table of many files is left as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def load_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build one view over the tables of ``sf_dir``."""
     sql = view_sql(name, "spark")
     used = [t for t in TABLES if f"FROM {t}" in sql or f"JOIN {t} " in sql]
     frames = {t: load_table(spark, sf_dir, t) for t in used}
     for t in used:
+        if f"FROM {t}" in sql:
+            frames[t] = spread(frames[t])
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
     return spark.sql(sql, **frames)
