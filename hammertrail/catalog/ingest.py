@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from hammertrail.catalog.history import snapshots
 from hammertrail.operators import ingest as N
+from hammertrail.plans import ingest as I
 from hammertrail.sources import readers as R
-from hammertrail.sources.views import load_table
+from hammertrail.sources.views import load_table, load_view
 
 
 def greedy_list(spark, d):
@@ -31,6 +32,21 @@ def ingest_batch(spark, d):
                        "sold_price", "sale_date", "center", "observations", "photo_urls", "status")
 
 
+def ingest_resolved(spark, d):
+    """Entities after a batch of records was resolved and merged."""
+    entities = load_view(spark, d, "fx_vehicles")
+    records = load_view(spark, d, "fx_records").withColumns(
+        {"scraped_at": F.lit("2024-02-01").cast("timestamp"), "status": F.lit("available"), "city": F.lit("C1"),
+         "starting_price": F.lit(None).cast("bigint"), "live_price": F.lit(None).cast("bigint"),
+         "sold_price": F.lit(None).cast("bigint"), "market_value": F.lit(None).cast("bigint"),
+         "new_price": F.lit(None).cast("bigint")}
+    )
+    log = snapshots(spark, d)
+    watch = load_view(spark, d, "fx_watchlist")
+    state = I.ingest(records, entities, log, watch)
+    return state["entities"].select("id", "reference", "hash_id", "version", "power", "transmission")
+
+
 def detail_json(spark, d):
     """Events as detail records, split into good ones and rejects by issue."""
     rows = load_table(spark, d, "events").withColumn("kind", F.col("event_id") % 5)
@@ -63,4 +79,4 @@ def list_json(spark, d):
     return items.groupBy("valid").agg(F.count("*").alias("n"), F.sum(F.when(F.col("valid"), F.col("mileage"))).cast("bigint").alias("mileage"))
 
 
-QUERIES = {f.__name__: f for f in [greedy_list, greedy_detail, ingest_batch, detail_json, list_json]}
+QUERIES = {f.__name__: f for f in [greedy_list, greedy_detail, ingest_batch, ingest_resolved, detail_json, list_json]}

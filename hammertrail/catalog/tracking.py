@@ -10,6 +10,7 @@ from hammertrail.operators import badges as B
 from hammertrail.operators import changes as C
 from hammertrail.operators import lookups as L
 from hammertrail.operators import passages as S
+from hammertrail.operators import projections as X
 from hammertrail.operators import repair as R
 from hammertrail.operators.evolution import evolution as evolve
 from hammertrail.operators.evolution import patch_latest
@@ -123,11 +124,16 @@ def list_dedup(spark, d):
 
 def import_targets(spark, d):
     """One import target per address with its label."""
-    rows = snapshots(spark, d).filter(F.coalesce("source_url", F.lit("")) != "")
-    first = L.keep_first(rows, ["source_url"], [F.col("scraped_at"), F.col("id")])
-    parts = [F.nullif(c, F.lit("")) for c in ["brand", "model", "city"]]
-    label = F.nullif(F.concat_ws(" • ", *parts), F.lit(""))
-    return first.select(F.col("source_url").alias("url"), F.coalesce(label, "hash_id", F.lit("Vehicule")).alias("label"))
+    return X.import_targets(snapshots(spark, d), [F.col("scraped_at"), F.col("id")])
+
+
+def api_rows(spark, d):
+    """Snapshots as callers see them."""
+    rows = X.to_api(snapshots(spark, d))
+    return rows.select(
+        F.col("id").alias("snapshot_id"), "reference", "hash_id", F.array_join("photo_urls", ",").alias("photos"),
+        F.get("photo_urls", F.lit(0)).alias("thumb"),
+    )
 
 
 def lookup(spark, d):
@@ -266,7 +272,7 @@ QUERIES = {
     for f in [
         badges, list_badges, passage_key_count, capture_timeline, retention, capture_plan, plan_counts,
         snapshot_diff, change_kind, change_search, run_counters, last_errors, batch_delta, disappeared,
-        batch_summary, alerts, list_dedup, import_targets, lookup, with_previous_price, with_latest,
+        batch_summary, alerts, list_dedup, import_targets, api_rows, lookup, with_previous_price, with_latest,
         store_stats, watchlist_view, watchlist_apply, watchlist_alerts, visits, repair_rules,
         rule_overlaps, placeholder_scrub, polluted, polluted_split, polluted_moves, resolved_price,
         patch_history, current_passage, headline,

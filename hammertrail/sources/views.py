@@ -133,7 +133,8 @@ FROM part
 """,
     # Auction lists and sold comparables.
     "fx_lots": """
-SELECT concat(cast(l.l_orderkey AS varchar(20)), '-', cast(l.l_linenumber AS varchar(20)), '-', cast(l.l_partkey AS varchar(20)), '-', cast(l.l_suppkey AS varchar(20))) AS id,
+SELECT concat(cast(l.l_orderkey AS varchar(20)), '-', cast(l.l_linenumber AS varchar(20)), '-', cast(l.l_partkey AS varchar(20)), '-', cast(l.l_suppkey AS varchar(20)),
+    '-', cast(cast(floor(l.l_extendedprice * 100) AS bigint) AS varchar(20))) AS id,
   l.l_orderkey AS auction_id,
   concat('s', cast(p.p_partkey AS varchar(20))) AS hash_id,
   upper(p.p_brand) AS brand, upper(p.p_name) AS model, cast(2000 + p.p_size % 20 AS bigint) AS year, p.p_partkey AS vehicle_id,

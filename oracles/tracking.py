@@ -228,6 +228,10 @@ SELECT hash_id, id, status FROM fx_snapshots WHERE hash_id IS NOT NULL QUALIFY r
     "import_targets": with_ctes([SNAP], """
 SELECT source_url AS url, concat_ws(' • ', brand, model, city) AS label FROM fx_snapshots
 QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY scraped_at, id) = 1"""),
+    "api_rows": with_ctes([SNAP], """
+SELECT id AS snapshot_id, coalesce(reference,'') AS reference, coalesce(hash_id,'') AS hash_id,
+  CASE photo_urls WHEN '["p1"]' THEN 'p1' WHEN '["p1","p2"]' THEN 'p1,p2' ELSE '' END AS photos,
+  CASE WHEN photo_urls LIKE '["p1"%' THEN 'p1' END AS thumb FROM fx_snapshots"""),
     "lookup": with_ctes([SNAP, ENT, ("hits", """
 SELECT s.id AS key_id, CASE WHEN e.hash_id = s.hash_id AND e.reference = s.reference THEN 1 WHEN e.hash_id = s.hash_id THEN 2 ELSE 3 END AS priority, e.id
 FROM fx_snapshots s JOIN fx_entities e ON e.hash_id = s.hash_id
