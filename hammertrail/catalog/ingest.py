@@ -17,7 +17,7 @@ def greedy_list(spark, d):
 
 
 def greedy_detail(spark, d):
-    """Insert, enrich or duplicate per detail snapshot (a day as the gap)."""
+    """Insert, enrich or duplicate per detail snapshot, with a six-hour gap."""
     return N.detail_merge(snapshots(spark, d), gap_hours=6).withColumnRenamed("id", "snapshot_id")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hammertrail.catalog.history import run, snapshots
+from hammertrail.catalog.history import run
 from hammertrail.functions import prices as P
 from hammertrail.functions import text as X
 from hammertrail.operators import badges as B
