@@ -26,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def word_count(text: Column) -> Column:
-    """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null counts as no word."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Number of ``[^\\x20\\x09-\\x0D]+`` in a text, which is Java's ``\\S+``; null counts as no word."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
 def unit_hash(*parts: Column) -> Column:
