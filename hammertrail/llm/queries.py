@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hammertrail.llm import line_dedup, minhash, mixing, packing, quality
-from hammertrail.llm.common import table
+from hammertrail.llm import (
+    language, licenses, line_dedup, minhash, mixing, packing, pivot_index, quality, toxicity, url_filter,
+)
+from hammertrail.llm.common import crc_of_id, table
+
+
+def op1_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.links_and_components(table(spark, sf_dir, "embeddings"), 0.93)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +22,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_of_id(F.col("doc_id")) % 4 == 2
+    found = language.identify(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_of_id(F.col("doc_id")) % 5 == 0
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mixture(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -25,17 +43,29 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     deduped = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op5_source_mixing, op6_minhash_dedup, op8_packing, op10_line_dedup)
+    f.__name__: f
+    for f in (
+        op1_pivot_dedup, op2_quality_rules, op3_language_id, op4_toxicity, op5_source_mixing, op6_minhash_dedup,
+        op7_license_scan, op8_packing, op9_url_filter, op10_line_dedup,
+    )
 }
 
 ASCII_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -43,6 +73,25 @@ BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
 SQL: dict[str, str] = {
+    "op1_pivot_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, y -> y IS NULL OR NOT isfinite(y))) = 0
+    AND len(list_filter(embedding, y -> y <> 0)) > 0
+), e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.93
+), reach AS (
+  SELECT vec_id AS id, vec_id AS to_id FROM embeddings
+  UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.to_id
+), c AS (
+  SELECT id, min(to_id) AS component_id FROM reach GROUP BY id
+), n AS (
+  SELECT a, count(*) AS n FROM e GROUP BY a
+)
+SELECT m.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, m.vec_id = c.component_id AS kept
+FROM embeddings m LEFT JOIN c ON c.id = m.vec_id LEFT JOIN n ON n.a = m.vec_id""",
     "op5_source_mixing": f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORDS})) AS size FROM documents
