@@ -6,7 +6,7 @@ A document's set holds the distinct runs of ``size`` words; two documents are li
 * Documents with equal sets form one class, found by a digest of the whole set; one row per class goes on.
 * Bands of a MinHash signature name buckets. A bucket is never expanded into all its pairs at first: its smallest
   member is paired with every other one, which is linear, and only buckets that then still hold several components
-  are paired across those components.
+  are compared across those components, in blocks that give confirmed links and not their pairs.
 * A candidate pair compares its signatures in batches of ``BATCH`` values. After each batch the posterior of the
   similarity, from a uniform prior, is an exact binomial tail; the pair is dropped once the chance that it reaches
   the threshold is below ``MISS``.
@@ -40,6 +40,8 @@ BANDS, ROWS = 56, 7
 KEPT, BATCH = 256, 32
 #: A pair is dropped when its posterior chance to reach the threshold is smaller.
 MISS = 1e-6
+#: Rows of a block of a large bucket, and rows that small buckets gather in one group.
+BLOCK, GROUP_ROWS = 512, 4096
 #: Columns of a set hashed at once.
 CHUNK = 2048
 
@@ -176,6 +178,93 @@ def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def links_across(open_: DataFrame, signs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join the components (``comp``) of each bucket.
+
+    ``open_`` has (band, id, n, comp, minor) and per bucket the rows ``held`` and its minor rows ``strays``. Minor rows
+    are compared with all rows, both cut into blocks of ``BLOCK``, every pair of blocks in one place: signatures by
+    batches, then full sets, best estimate first, where pairs already joined there are passed over. Only confirmed
+    links leave a task, at most one per row. Small buckets share a group; ``GROUP_ROWS`` rows are a group's aim.
+    """
+
+    def numbered(count: str):
+        return F.sequence(F.lit(0), (F.ceil(F.col(count) / BLOCK) - 1).cast("int"))
+
+    def place(count: str):
+        return F.pmod(F.xxhash64("id"), F.ceil(F.col(count) / BLOCK)).cast("int")
+
+    def as_row(lo, hi, side: bool):
+        return F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(side).alias("asks"))
+
+    others = F.transform(numbered("strays"), lambda k: as_row(k, place("held"), False))
+    asking = F.when(F.col("minor"), F.transform(numbered("held"), lambda k: as_row(place("strays"), k, True)))
+    paired = open_.select(
+        "band", "id", "n", "comp", F.explode(F.concat(others, F.coalesce(asking, F.slice(others, 1, 0)))).alias("_at")
+    ).select("band", "id", "n", "comp", "_at.*")
+    copies = open_.agg(F.sum(F.ceil(F.col("strays") / BLOCK) + F.when(F.col("minor"), F.ceil(F.col("held") / BLOCK)).otherwise(0))).first()[0] or 0
+    groups = int(copies // GROUP_ROWS) + 1
+    unit = F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(groups))
+    rows = (
+        paired.withColumn("unit", unit).join(signs.select("id", "kept", "bands").dropDuplicates(["id"]), "id")
+        .join(members.select("id", "members"), "id")
+    )
+    least = least_matches(percent)
+
+    def compare(group: pa.Table) -> pa.Table:
+        found: set[tuple[int, int]] = set()
+        places = np.stack([group[c].to_numpy().astype(np.int64) for c in ("band", "lo", "hi")], axis=1)
+        _, which = np.unique(places, axis=0, return_inverse=True)
+        order = np.argsort(which.ravel(), kind="stable")
+        ends = np.flatnonzero(np.diff(which.ravel()[order])) + 1
+        for part in np.split(order, ends):
+            found |= _join_bucket(group.take(pa.array(part)), least, percent)
+        a, b = zip(*sorted(found), strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("unit").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _join_bucket(rows: pa.Table, least: list[int], percent: int) -> set[tuple[int, int]]:
+    """Confirmed links between different components of one pair of blocks of a bucket."""
+    band = rows["band"][0].as_py()
+    ids, n, comp = (rows[c].to_numpy() for c in ("id", "n", "comp"))
+    asks = rows["asks"].to_numpy(zero_copy_only=False)
+    kept = np.frombuffer(b"".join(rows["kept"].to_pylist()), np.uint16).reshape(-1, KEPT)
+    bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    at = int((bands[0] == band).argmax())
+    pairs: list[tuple[int, int, int]] = []
+    for i in np.flatnonzero(asks):
+        j = np.flatnonzero(~asks & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        matches = np.zeros(len(j), np.int64)
+        for k, bound in enumerate(least):
+            if not len(j):
+                break
+            matches += (kept[j, k * BATCH : (k + 1) * BATCH] == kept[i, k * BATCH : (k + 1) * BATCH]).sum(axis=1)
+            j, matches = j[matches >= bound], matches[matches >= bound]
+        if len(j):  # a pair belongs to the first band that it shares
+            own = (bands[j] == bands[i]).argmax(axis=1) == at
+            pairs += [(-int(m), int(i), int(x)) for m, x in zip(matches[own], j[own], strict=True)]
+    root = {int(c): int(c) for c in comp}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    found, members = set(), rows["members"]
+    for _, i, j in sorted(pairs):
+        x, y = find(int(comp[i])), find(int(comp[j]))
+        if x == y:
+            continue
+        left, right = (np.frombuffer(members[k].as_py(), np.uint64) for k in (i, j))
+        common = len(np.intersect1d(left, right, assume_unique=True))
+        if 100 * common >= percent * (len(left) + len(right) - common):
+            root[x] = y
+            found.add((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+    return found
+
+
 def _components(links: DataFrame) -> DataFrame:
     return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
@@ -191,8 +280,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     alone = of_class.filter((F.col("id") == F.col("rep")) & (F.col("n") > 0)).select("id").distinct()
     reps = signs.filter("n > 0").join(alone, "id", "left_semi")
     bands = cut_lineage(reps.select("id", "n", F.explode("bands").alias("band")))
-    shared = bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("_last")).filter("hub != _last")
-    crowded = cut_lineage(bands.join(shared.select("band", "hub"), "band"))
+    shared = bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("_last"), F.count("*").alias("held")).filter("hub != _last")
+    crowded = cut_lineage(bands.join(shared.select("band", "hub", "held"), "band"))
     hub_size = alone_sizes(of_class).select(F.col("id").alias("hub"), F.col("n").alias("_hub_n"))
     stars = (
         crowded.filter("id != hub").select("hub", "id", "n").distinct().join(hub_size, "hub")
@@ -200,32 +289,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
     first = cut_lineage(posterior_filter(stars, signs, percent))
 
-    # Full sets of the documents that any survivor needs.
-    def full_sets(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return cut_lineage(sets(docs.join(needed, "doc_id", "left_semi"), size, signed=False).dropDuplicates(["id"]))
-
-    members = full_sets(first)
+    # Full sets of the documents that a survivor or a bucket of more than one pair may need.
+    more = crowded.filter("held > 2").select("band", "id", "n")
+    needed = first.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(more.select(F.col("id").alias("doc_id"))).distinct()
+    members = cut_lineage(sets(docs.join(needed, "doc_id", "left_semi"), size, signed=False).dropDuplicates(["id"]))
     one_each = first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = cut_lineage(verify(one_each, members, percent))
     rest = _crossing(first.join(one_each, ["a", "b"], "left_anti"), _components(links))
     links = cut_lineage(links.unionByName(verify(rest, members, percent)))
 
-    # Buckets that still hold several components are paired across them.
     labels = _components(links)
-    open_ = crowded.select("band", "id", "n").join(labels, "id", "left").withColumn("comp", F.coalesce("cluster", "id")).drop("cluster")
-    several = open_.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo != _hi")
-    open_ = cut_lineage(open_.join(several.select("band"), "band", "left_semi"))
-    x, y = (open_.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "comp"))) for side in "ab")
-    across = (
-        x.join(y, "band")
-        .filter((F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & _near_size(F.col("n_a"), F.col("n_b"), percent))
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    )
-    second = cut_lineage(posterior_filter(across, signs, percent))
-    if not second.isEmpty():
-        links = cut_lineage(links.unionByName(verify(second, full_sets(second), percent)))
-        labels = _components(links)
+    open_ = more.join(labels, "id", "left").withColumn("comp", F.coalesce("cluster", "id")).drop("cluster")
+    # The largest component of a bucket needs no comparison inside; ``minor`` rows are all others.
+    largest = open_.groupBy("band", "comp").agg(F.count("*").alias("_n")).groupBy("band").agg(
+        F.max_by("comp", F.struct("_n", "comp")).alias("_most"), F.max("_n").alias("_most_n"), F.sum("_n").alias("held")
+    ).filter("_most_n < held").select("band", "_most", "held", (F.col("held") - F.col("_most_n")).alias("strays"))
+    open_ = cut_lineage(open_.join(largest, "band").withColumn("minor", F.col("comp") != F.col("_most")).drop("_most"))
+    across = cut_lineage(links_across(open_, signs, members, percent))
+    if not across.isEmpty():
+        labels = _components(links.unionByName(across))
     labels = labels.select(F.col("id").alias("rep"), "cluster")
     return of_class.join(labels, "rep", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("cluster", "rep").alias("component_id"),
