@@ -82,63 +82,86 @@ def token_pieces(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, PIECES)
 
 
-def best_pattern(prices: np.ndarray, demand: np.ndarray) -> np.ndarray:
-    """Knapsack by dynamic programming: the pattern of most worth that fits, class k + 1 taking k + 1 units."""
+def priced_patterns(prices: np.ndarray) -> np.ndarray:
+    """Knapsack by dynamic programming: for every class the pattern of most worth that holds it, best first.
+
+    Class k + 1 takes k + 1 units of the room.
+    """
     n = len(prices)
-    worth, last = np.zeros(n + 1), np.zeros(n + 1, np.int64)
+    worth, fill = np.zeros(n + 1), np.zeros((n + 1, n), np.int16)
     for room in range(1, n + 1):
-        options = worth[room - 1 :: -1][: room] + prices[:room]
+        options = worth[room - 1 :: -1][:room] + prices[:room]
         k = int(options.argmax())
-        if options[k] > worth[room - 1] + 1e-12:
-            worth[room], last[room] = options[k], k + 1
-        else:
-            worth[room], last[room] = worth[room - 1], 0
-    pattern, room = np.zeros(n, np.int64), n
-    while room > 0:
-        if last[room]:
-            pattern[last[room] - 1] += 1
-            room -= last[room]
+        if options[k] > worth[room - 1]:
+            worth[room], fill[room] = options[k], fill[room - 1 - k]
+            fill[room, k] += 1
         else:
-            room -= 1
-    return pattern
+            worth[room], fill[room] = worth[room - 1], fill[room - 1]
+    classes = np.arange(n)
+    patterns = fill[n - 1 - classes].copy()
+    patterns[classes, classes] += 1
+    order = np.argsort(-(worth[n - 1 - classes] + prices), kind="stable")
+    return patterns[order]
 
 
-def solve_patterns(demand: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def _exchange(basis: np.ndarray, inverse: np.ndarray, out: int, column: np.ndarray) -> np.ndarray:
+    """Put ``column`` at place ``out`` of the basis; returns the new inverse."""
+    direction = inverse @ column
+    pivot = inverse[out] / direction[out]
+    basis[:, out] = column
+    inverse = inverse - np.outer(direction, pivot)
+    inverse[out] = pivot
+    return inverse
+
+
+def solve_patterns(demand: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Column generation for min sum(x), patterns @ x >= demand, x >= 0: the basis patterns (rows) and their x.
 
-    The first basis fills a sequence with one class alone. ``rounds`` only bounds the polish of the program: any
-    basis met on the way packs all rests.
+    The first basis is greedy: sequences are filled with the largest classes that are left until one runs out, and each
+    such pattern stands for the class that it used up. A round prices patterns once and brings in those that still gain. ``rounds`` only bounds the polish of the program: any basis met on the way packs all rests.
     """
     classes = np.flatnonzero(demand)
     n = len(demand)
-    basis = np.zeros((len(classes), len(classes)))
-    for row, k in enumerate(classes):
-        basis[row, row] = n // (k + 1)
-    inverse = np.diag(1.0 / np.diag(basis)) if len(classes) else basis
-    x = inverse @ demand[classes].astype(float)
+    basis = np.diag((n // (classes + 1)).astype(float))
+    inverse, greedy = np.diag(1.0 / np.diag(basis)), []
+    left = demand[classes].astype(float)
+    while (left > 0).any():
+        pattern, room = np.zeros(len(classes)), n
+        for k in np.flatnonzero(left > 0)[::-1]:
+            pattern[k], room = room // (classes[k] + 1), room % (classes[k] + 1)
+        used = np.flatnonzero(pattern)
+        gone = used[(left[used] / pattern[used]).argmin()]
+        left = np.maximum(left - pattern * (left[gone] / pattern[gone]), 0.0)
+        left[gone] = 0.0
+        greedy.append((int(gone), pattern))
+    for gone, pattern in reversed(greedy):  # a pattern holds only classes that run out with it or later
+        inverse = _exchange(basis, inverse, gone, pattern)
+    x = np.maximum(inverse @ demand[classes], 0.0)
     for _ in range(rounds):
         prices = np.zeros(n)
         prices[classes] = np.maximum(0.0, inverse.sum(axis=0))
-        column = best_pattern(prices, demand)[classes].astype(float)
-        if column @ prices[classes] <= 1 + 1e-9:
-            break
-        direction = inverse @ column
-        up = direction > 1e-9
-        if not up.any():
+        gained = False
+        for column in priced_patterns(prices)[:, classes].astype(float):
+            if column @ inverse.sum(axis=0) <= 1 + 1e-7:
+                continue
+            direction = inverse @ column
+            up = direction > 1e-9
+            if not up.any():
+                continue
+            ratios = np.full(len(x), np.inf)
+            ratios[up] = x[up] / direction[up]
+            out = int(ratios.argmin())
+            step = ratios[out]
+            x = x - step * direction
+            x[out] = step
+            inverse = _exchange(basis, inverse, out, column)
+            gained = True
+        if not gained:
             break
-        ratios = np.full(len(x), np.inf)
-        ratios[up] = x[up] / direction[up]
-        out = int(ratios.argmin())
-        step = ratios[out]
-        x = x - step * direction
-        x[out] = step
-        basis[:, out] = column
-        pivot = inverse[out] / direction[out]
-        inverse = inverse - np.outer(direction, pivot)
-        inverse[out] = pivot
+        x = np.maximum(inverse @ demand[classes], 0.0)
     patterns = np.zeros((len(classes), n), np.int64)
     patterns[:, classes] = basis.T.round().astype(np.int64)
-    return patterns, np.maximum(x, 0.0)
+    return patterns, x
 
 
 def first_fit(demand: np.ndarray) -> list[np.ndarray]:
