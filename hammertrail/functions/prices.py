@@ -14,10 +14,13 @@ SIBLING_FLOOR, REPAIR_VALUATION_FLOOR, REPAIR_BID_FLOOR = 500, 1000, 1000
 # Not-drivable wording: strict for listing pages (case matters), loose for
 # panels, comparable for the sold sample.
 NOT_DRIVABLE = {
+    # A word ends at ASCII letters, digits and the underscore only, on every Java version: "accidente" must not go on,
+    # while "accidenté" counts only where such a character follows.
     "strict": (
-        r"v[ée]hicule\s+non\s*roulant\b|v[ée]hicule\s+hors\s+d['’]\s*usage\b"
-        r"|v[ée]hicule\s+[eé]pave\b|v[ée]hicule\s+accident[eé]\b|(?:^|\s)NON\s+ROULANT\b"
-        r"|mention\s+[eé]pave\b|\bstatut\s*:\s*[eé]pave\b"
+        r"v[ée]hicule\s+non\s*roulant(?![A-Za-z0-9_])|v[ée]hicule\s+hors\s+d['’]\s*usage(?![A-Za-z0-9_])"
+        r"|v[ée]hicule\s+[eé]pave(?![A-Za-z0-9_])|v[ée]hicule\s+accident(?:é(?=[A-Za-z0-9_])|e(?![A-Za-z0-9_]))"
+        r"|(?:^|\s)NON\s+ROULANT(?![A-Za-z0-9_])"
+        r"|mention\s+[eé]pave(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])statut\s*:\s*[eé]pave(?![A-Za-z0-9_])"
     ),
     "loose": r"(?i)non\s*roulant",
     "comparable": r"(?iu)non\s*roulant|hors\s*d['’]usage|[eé]pave|accident[eé]",

@@ -66,10 +66,14 @@ def lookup(keys: DataFrame, entities: DataFrame, snap: DataFrame) -> DataFrame:
         blank_to_null(F.trim("reference")).alias("_qref"),
         blank_to_null(F.trim("hash_id")).alias("_qhash"),
     )
-    e = entities.select("id", "reference", "hash_id")
-    both = q.join(e, (F.col("_qhash") == F.col("hash_id")) & (F.col("_qref") == F.col("reference")))
-    by_hash = q.join(e, F.col("_qhash") == F.col("hash_id"))
-    by_ref = q.join(e, F.col("_qref") == F.col("reference"))
+    # Only the lowest id of a hash, a reference or a pair can win, so a shared one never multiplies the keys.
+    def lowest(*cols: str) -> DataFrame:
+        return entities.groupBy(*cols).agg(F.min("id").alias("id"))
+
+    pairs, hashes, references = lowest("hash_id", "reference"), lowest("hash_id"), lowest("reference")
+    both = q.join(pairs, (F.col("_qhash") == F.col("hash_id")) & (F.col("_qref") == F.col("reference")))
+    by_hash = q.join(hashes, F.col("_qhash") == F.col("hash_id"))
+    by_ref = q.join(references, F.col("_qref") == F.col("reference"))
     hits = (
         both.select("key_id", F.lit(1).alias("priority"), "id")
         .unionByName(by_hash.select("key_id", F.lit(2).alias("priority"), "id"))

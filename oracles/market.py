@@ -223,7 +223,7 @@ SELECT id, n_peers, avg_start, min_start, max_start, avg_sold, CASE WHEN coalesc
 SELECT city, count(*) FILTER (WHERE ct_available) AS ct_ok, count(*) FILTER (WHERE NOT ct_available) AS ct_missing, count(*) FILTER (WHERE ct_available IS NULL) AS ct_unknown FROM fx_lots GROUP BY 1"""),
     "cheapest": with_ctes([LOTS], "SELECT id, starting_price, status FROM fx_lots ORDER BY coalesce(starting_price,0), id LIMIT 50"),
     "not_drivable": with_ctes([LOTS], """
-SELECT city, count(*) FILTER (WHERE observations = 'NON ROULANT' OR observations = 'véhicule accidenté') AS strict,
+SELECT city, count(*) FILTER (WHERE observations = 'NON ROULANT') AS strict,
   count(*) FILTER (WHERE observations = 'NON ROULANT') AS loose, count(*) FILTER (WHERE observations IS NOT NULL) AS comparable FROM fx_lots GROUP BY 1"""),
     "margins": with_ctes([LOTS], """
 SELECT id, CASE WHEN starting_price <> 0 THEN sold_price - starting_price END AS vs_start, CAST(round((sold_price - starting_price) * 100.0 / nullif(starting_price,0)) AS BIGINT) AS vs_start_pct,

@@ -89,4 +89,9 @@ def test_presentation(one):
 def test_wording(one):
     assert one(P.not_drivable("strict", F.lit("véhicule non accidenté"))) is False
     assert one(P.not_drivable("strict", F.lit("Lot NON ROULANT"))) is True
+    # An accented end is no word end in the ASCII sense, on any Java version.
+    assert one(P.not_drivable("strict", F.lit("véhicule accidente, à voir"))) is True
+    assert one(P.not_drivable("strict", F.lit("véhicule accidenté"))) is False
+    assert one(P.not_drivable("strict", F.lit("véhicule accidenté à voir"))) is False
+    assert one(P.not_drivable("strict", F.lit("véhicule accidentel"))) is False
     assert one(P.not_drivable("comparable", F.lit("ÉPAVE"))) is True
