@@ -42,6 +42,8 @@ KEPT, BATCH = 256, 32
 MISS = 1e-6
 #: Rows of a block of a large bucket, and rows that small buckets gather in one group.
 BLOCK, GROUP_ROWS = 512, 4096
+#: Rows of buckets around one component that share a group, where a document of several such buckets is one row.
+SHARED_ROWS = 32768
 #: Columns of a set hashed at once.
 CHUNK = 2048
 
@@ -181,60 +183,77 @@ def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def links_across(open_: DataFrame, signs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) that join the components (``comp``) of each bucket.
 
-    ``open_`` has (band, id, n, comp, minor) and per bucket the rows ``held`` and its minor rows ``strays``. Minor rows
-    are compared with all rows, both cut into blocks of ``BLOCK``, every pair of blocks in one place: signatures by
-    batches, then full sets, best estimate first, where pairs already joined there are passed over. Only confirmed
-    links leave a task, at most one per row. Small buckets share a group; ``GROUP_ROWS`` rows are a group's aim.
+    ``open_`` has (band, id, n, comp, minor, most) and per bucket the rows ``held`` and its minor rows ``strays``; ``most``
+    is its largest component. Minor rows are compared with all rows, both cut into a power of two of blocks of up to
+    ``BLOCK`` rows, every pair of blocks in one place: signatures by batches, then full sets, best estimate first, where
+    pairs already joined there are passed over. Only confirmed links leave a task, at most one per row. Buckets around
+    one component hold nearly the same documents, so equal block pairs of up to ``SHARED_ROWS`` of their rows share a
+    group, which gets each document once; other buckets share a group too, ``GROUP_ROWS`` rows being its aim.
     """
 
+    def blocks(count: str):
+        return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col(count) / BLOCK, F.lit(1.0))))).cast("int")
+
     def numbered(count: str):
-        return F.sequence(F.lit(0), (F.ceil(F.col(count) / BLOCK) - 1).cast("int"))
+        return F.sequence(F.lit(0), F.col(count) - 1)
 
     def place(count: str):
-        return F.pmod(F.xxhash64("id"), F.ceil(F.col(count) / BLOCK)).cast("int")
+        return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
 
     def as_row(lo, hi, side: bool):
         return F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(side).alias("asks"))
 
-    others = F.transform(numbered("strays"), lambda k: as_row(k, place("held"), False))
-    asking = F.when(F.col("minor"), F.transform(numbered("held"), lambda k: as_row(place("strays"), k, True)))
+    open_ = open_.withColumn("los", blocks("strays")).withColumn("his", blocks("held"))
+    others = F.transform(numbered("los"), lambda k: as_row(k, place("his"), False))
+    asking = F.when(F.col("minor"), F.transform(numbered("his"), lambda k: as_row(place("los"), k, True)))
     paired = open_.select(
-        "band", "id", "n", "comp", F.explode(F.concat(others, F.coalesce(asking, F.slice(others, 1, 0)))).alias("_at")
-    ).select("band", "id", "n", "comp", "_at.*")
-    copies = open_.agg(F.sum(F.ceil(F.col("strays") / BLOCK) + F.when(F.col("minor"), F.ceil(F.col("held") / BLOCK)).otherwise(0))).first()[0] or 0
-    groups = int(copies // GROUP_ROWS) + 1
-    unit = F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(groups))
-    rows = (
-        paired.withColumn("unit", unit).join(signs.select("id", "kept", "bands").dropDuplicates(["id"]), "id")
-        .join(members.select("id", "members"), "id")
+        "band", "id", "n", "comp", "most", "los", "his",
+        F.explode(F.concat(others, F.coalesce(asking, F.slice(others, 1, 0)))).alias("_at"),
+    ).select("band", "id", "n", "comp", "most", "los", "his", "_at.*")
+    around = ["most", "los", "his", "lo", "hi"]
+    sizes = cut_lineage(paired.groupBy(*around).agg(F.count("*").alias("_n")))
+    groups = int((sizes.agg(F.sum("_n")).first()[0] or 0) // GROUP_ROWS) + 1
+    share = F.pmod(F.xxhash64("band"), F.ceil(F.col("_n") / SHARED_ROWS))
+    unit = F.pmod(F.xxhash64(*around, share), F.lit(groups))
+    once = paired.join(sizes, around).groupBy(unit.alias("unit"), "id").agg(
+        F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list(F.struct("band", "lo", "hi", "asks")).alias("places")
     )
+    wanted = open_.select("id").distinct()
+    signed = signs.join(wanted, "id", "left_semi").select("id", "kept", "bands").dropDuplicates(["id"])
+    rows = once.join(signed, "id").join(members.select("id", "members"), "id")
     least = least_matches(percent)
 
     def compare(group: pa.Table) -> pa.Table:
         found: set[tuple[int, int]] = set()
-        places = np.stack([group[c].to_numpy().astype(np.int64) for c in ("band", "lo", "hi")], axis=1)
-        _, which = np.unique(places, axis=0, return_inverse=True)
+        group = group.combine_chunks()
+        unit = {c: group[c].to_numpy() for c in ("id", "n", "comp")}
+        unit["kept"] = np.frombuffer(b"".join(group["kept"].to_pylist()), np.uint16).reshape(-1, KEPT)
+        unit["bands"] = group["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        lists = group["places"].combine_chunks()
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        at = lists.flatten()
+        asks = at.field("asks").to_numpy(zero_copy_only=False)
+        places = np.stack([at.field(c).to_numpy().astype(np.int64) for c in ("band", "lo", "hi")], axis=1)
+        keys, which = np.unique(places, axis=0, return_inverse=True)
         order = np.argsort(which.ravel(), kind="stable")
         ends = np.flatnonzero(np.diff(which.ravel()[order])) + 1
-        for part in np.split(order, ends):
-            found |= _join_bucket(group.take(pa.array(part)), least, percent)
+        for key, part in zip(keys, np.split(order, ends), strict=True):
+            found |= _join_bucket(int(key[0]), unit, group["members"], row[part[asks[part]]], row[part[~asks[part]]], least, percent)
         a, b = zip(*sorted(found), strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("unit").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _join_bucket(rows: pa.Table, least: list[int], percent: int) -> set[tuple[int, int]]:
+def _join_bucket(
+    band: int, unit: dict[str, np.ndarray], members: pa.ChunkedArray, asking: np.ndarray, held: np.ndarray, least: list[int], percent: int
+) -> set[tuple[int, int]]:
     """Confirmed links between different components of one pair of blocks of a bucket."""
-    band = rows["band"][0].as_py()
-    ids, n, comp = (rows[c].to_numpy() for c in ("id", "n", "comp"))
-    asks = rows["asks"].to_numpy(zero_copy_only=False)
-    kept = np.frombuffer(b"".join(rows["kept"].to_pylist()), np.uint16).reshape(-1, KEPT)
-    bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-    at = int((bands[0] == band).argmax())
+    ids, n, comp, kept, bands = (unit[c] for c in ("id", "n", "comp", "kept", "bands"))
     pairs: list[tuple[int, int, int]] = []
-    for i in np.flatnonzero(asks):
-        j = np.flatnonzero(~asks & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+    for i in asking:
+        at = int((bands[i] == band).argmax())
+        j = held[(comp[held] != comp[i]) & (100 * np.minimum(n[held], n[i]) >= percent * np.maximum(n[held], n[i]))]
         matches = np.zeros(len(j), np.int64)
         for k, bound in enumerate(least):
             if not len(j):
@@ -244,15 +263,15 @@ def _join_bucket(rows: pa.Table, least: list[int], percent: int) -> set[tuple[in
         if len(j):  # a pair belongs to the first band that it shares
             own = (bands[j] == bands[i]).argmax(axis=1) == at
             pairs += [(-int(m), int(i), int(x)) for m, x in zip(matches[own], j[own], strict=True)]
-    root = {int(c): int(c) for c in comp}
+    root: dict[int, int] = {}
 
     def find(c: int) -> int:
-        while root[c] != c:
+        while root.setdefault(c, c) != c:
             root[c] = root[root[c]]
             c = root[c]
         return c
 
-    found, members = set(), rows["members"]
+    found = set()
     for _, i, j in sorted(pairs):
         x, y = find(int(comp[i])), find(int(comp[j]))
         if x == y:
@@ -304,7 +323,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     largest = open_.groupBy("band", "comp").agg(F.count("*").alias("_n")).groupBy("band").agg(
         F.max_by("comp", F.struct("_n", "comp")).alias("_most"), F.max("_n").alias("_most_n"), F.sum("_n").alias("held")
     ).filter("_most_n < held").select("band", "_most", "held", (F.col("held") - F.col("_most_n")).alias("strays"))
-    open_ = cut_lineage(open_.join(largest, "band").withColumn("minor", F.col("comp") != F.col("_most")).drop("_most"))
+    open_ = cut_lineage(open_.join(largest, "band").withColumn("minor", F.col("comp") != F.col("_most")).withColumnRenamed("_most", "most"))
     across = cut_lineage(links_across(open_, signs, members, percent))
     if not across.isEmpty():
         labels = _components(links.unionByName(across))
