@@ -293,7 +293,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     signs = cut_lineage(sets(docs, size, signed=True))
     # Equal sets are linked through the smallest id of their class; empty sets stand alone.
     small = signs.select("id", "n", "digest")
-    classes = small.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
+    copied = small.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("_n"))
+    classes = cut_lineage(copied.filter("_n > 1").drop("_n"))
     of_class = cut_lineage(small.join(classes, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
 
     alone = of_class.filter((F.col("id") == F.col("rep")) & (F.col("n") > 0)).select("id").distinct()
