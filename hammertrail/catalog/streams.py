@@ -16,7 +16,7 @@ from hammertrail.streaming import processors as C
 
 def _stream(spark, d, view):
     """A view over the events table, read as a stream."""
-    events = J.read_stream(spark, d, load_table(spark, d, "events"), "events.parquet")
+    events = J.read_stream(load_table(spark, d, "events"), f"{d}/events.parquet")
     return spark.sql(view_sql(view, "spark").replace("FROM events", "FROM {events}"), events=events)
 
 
@@ -63,7 +63,8 @@ def stream_vanished(spark, d):
     owners, log = entities(spark, d), snapshots(spark, d)
     listed = load_view(spark, d, "fx_list_batch")
     listed.select("hash_id", "scraped_at").write.parquet(f"{where}/in")
-    items = J.read_stream(spark, f"{where}/in", listed.select("hash_id", "scraped_at"), "*.parquet")
+    # The check needs the whole list, so its files are one micro-batch.
+    items = J.read_stream(listed.select("hash_id", "scraped_at"), f"{where}/in", None)
 
     def sink(batch, number):
         gone = T.gone_entities(owners, log, batch, T.batch_time(batch))

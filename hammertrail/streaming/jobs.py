@@ -13,12 +13,16 @@ from hammertrail.session import shared_dir
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_stream(spark: SparkSession, directory: str, like: DataFrame, pattern: str) -> DataFrame:
-    """Parquet files of a folder as a stream with a known schema."""
-    return (
-        spark.readStream.schema(like.schema).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", 100).parquet(directory)
-    )
+def read_stream(like: DataFrame, path: str, per_trigger: int | None = 100) -> DataFrame:
+    """A table, one file or a folder of files, as a stream with the schema of ``like``.
+
+    The path is a glob, since a stream takes a single file only by one; its last letter in brackets matches itself.
+    ``per_trigger`` bounds the files of a micro-batch; None takes all there are into one.
+    """
+    reader = like.sparkSession.readStream.schema(like.schema)
+    if per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append", where: str | None = None) -> DataFrame:
