@@ -8,12 +8,15 @@ costs as much as one row.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hammertrail.functions import prices as P
 from hammertrail.functions.text import blank_to_null, ci_contains, ci_equal, first_word, trim_level
 from hammertrail.operators.ordering import top_n
+from hammertrail.session import cut_lineage
 
 ATTRIBUTES = [
     "brand", "model", "version", "year", "mileage", "color", "fuel", "transmission",
@@ -228,6 +231,28 @@ def spec_delta(cand: dict[str, Column], cur: dict[str, Column]) -> Column:
     )
 
 
+def _spare_offers(offers: DataFrame, group: list[str], k: int) -> DataFrame:
+    """The rows of each ``group`` that can be among the first ``k`` by id for some query.
+
+    A query leaves out itself and the rows of one hash, one reference and one
+    address. With ``m = k + 1``, a row that follows m rows of its own triple of
+    these is never needed. Of those left, one address holds at most m rows of a
+    (hash, reference), so 2m rows of a pair suffice; likewise 5m of a single
+    value, and 16m of a group. Groups up to that size stay whole.
+    """
+    m, marks = k + 1, ["_hash", "_ref", "_url"]
+    signed = signature(offers, group).withColumns(
+        {"_hash": blank_to_null(F.col("hash_id")), "_ref": blank_to_null(F.col("reference")), "_url": blank_to_null(F.col("source_url"))}
+    )
+    signed = cut_lineage(signed)  # the cuts below would be planned for minutes otherwise
+    large = signed.groupBy("sig").agg(F.count("*").alias("_n")).filter(F.col("_n") > 16 * m).select("sig")
+    few = signed.join(large, "sig", "left_semi")
+    for width, limit in ((3, m), (2, 2 * m), (1, 5 * m), (0, 16 * m)):
+        for held in combinations(marks, width):
+            few = top_n(few, ["sig", *held], [F.col("id")], limit, "_rn").drop("_rn")
+    return cut_lineage(signed.join(large, "sig", "left_anti").unionByName(few))
+
+
 def offers_elsewhere(items: DataFrame, k: int = 8) -> DataFrame:
     """The ``k`` best comparable offers outside an item's own auction.
 
@@ -235,16 +260,11 @@ def offers_elsewhere(items: DataFrame, k: int = 8) -> DataFrame:
 
     Candidates that agree on attributes, status, price and auction are
     interchangeable except for an item's own listings, which are recognised by
-    hash, address or reference. Hash and address name one listing; of any
-    reference, the first ``k + 2`` suffice. So ``2 * (k + 2)`` candidates per
-    group hold every possible answer.
+    hash, address or reference; see :func:`_spare_offers`.
     """
-    spare = k + 2
     group = [*ATTRIBUTES, "status", "starting_price", "auction_id"]
     open_now = items.filter(F.col("status").isin(OFFER_STATUSES))
-    grouped = signature(open_now, group)
-    some = top_n(grouped, ["sig", "reference"], [F.col("id")], spare, "_rn")
-    few = top_n(some, ["sig"], [F.col("id")], 2 * spare, "_rn")
+    few = _spare_offers(open_now.withColumn("_listed", F.col("hash_id").isNotNull()), [*group, "_listed"], k)
     keep = [*group, "id", "hash_id", "reference", "source_url"]
     scored = _scored(items.select(*keep), few.select(*keep), model_pairs(items))
     names = ["brand", "model", "year", "mileage", "hash_id", "reference", "source_url"]
