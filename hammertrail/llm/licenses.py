@@ -1,9 +1,9 @@
 """License scans with a positional index of rare words, in DataFrame functions only.
 
 ``NOTICES`` are licence notices. The IDF of a word is taken over the notices; each notice is indexed by its
-``INDEXED`` words of highest IDF with their positions. A document looks up its own ``LOOKED_UP`` indexed words of
-highest IDF. Every occurrence votes for (notice, offset) = its position minus the position in the notice; a notice is
-found where at least half of its indexed words agree on one offset and its key phrase stands at its place there.
+``INDEXED`` words of highest IDF with their positions. Every occurrence of an indexed word in a document votes for
+(notice, offset) = its position minus the position in the notice; a notice is found where at least half of its indexed
+words agree on one offset and its key phrase stands at its place there.
 
 The base phrases are searched in all documents besides, as consecutive words.
 
@@ -17,14 +17,14 @@ import re
 from collections import Counter
 from math import log
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z is lowered, written with classes that Java matches several times faster.
 ANY_CASE_WORD = r"[\p{Alnum}[^\p{ASCII}]]+"
-INDEXED, LOOKED_UP = 6, 12
+INDEXED = 6
 
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -117,11 +117,8 @@ def scan(docs: DataFrame) -> DataFrame:
         F.count("*").alias("n_base"), F.min("pos").alias("first_word"), F.max("pos").alias("last_word"),
         F.collect_set("label").alias("_base"),
     )
-    idf_of = F.create_map(*(x for word, idf in {w: i for w, _, _, i in index}.items() for x in (F.lit(word), F.lit(idf))))
-    rank = F.dense_rank().over(Window.partitionBy(*key).orderBy(F.try_element_at(idf_of, F.col("word")).desc(), "word"))
     votes = (
-        found.filter(F.col("votes").isNotNull()).withColumn("_rank", rank).filter(F.col("_rank") <= LOOKED_UP)
-        .select(*key, "pos", F.explode("votes").alias("v"))
+        found.select(*key, "pos", F.explode("votes").alias("v"))
         .select(*key, "v.notice", (F.col("pos") - F.col("v.at")).alias("offset"), "v.at", "v.idf", F.lit(False).alias("phrase"))
     )
     phrases = found.select(*key, "pos", F.explode("phrases").alias("v")).select(

@@ -281,6 +281,16 @@ def test_license_notices_find_themselves(spark):
     assert got[99].labels == "" and got[99].score == 0.0
 
 
+def test_license_notices_do_not_hide_each_other(spark):
+    """A text of two notices, and one of all of them, has the labels of each alone."""
+    notices, n = [notice for _, notice, _ in licenses.NOTICES], len(licenses.NOTICES)
+    parts = {k: [k] for k in range(n)} | {100 * (a + 1) + b: [a, b] for a in range(n) for b in range(n) if a != b} | {9999: [*range(n)]}
+    rows = [(i, " qq ".join(notices[k] for k in ks)) for i, ks in parts.items()]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(prepare(spark).createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i, ks in parts.items() if got[i] != set().union(*(got[k] for k in ks))} == {}
+    assert {label for label, *_ in licenses.NOTICES} <= got[9999]
+
+
 def test_urls(spark):
     rows = [
         (1, None), (2, ""), (3, "no scheme"), (4, "http://A.Com/x"), (5, "http://a.com"), (6, "https://example.com/en/1"),
