@@ -1,8 +1,8 @@
 """Quality rules with risk-controlled thresholds.
 
 Base rules reject short and repetitive texts. Beyond them each signal below gets one cutoff per stratum (the language
-of a document; languages with few labelled documents share the stratum of all). On the labelled documents
-(``quality`` 1 is good) that pass the base rules, a cutoff is admissible when the exact (Clopper-Pearson) upper
+of a document; languages with a small share of the labelled documents, and null, share one stratum, which is calibrated
+on their rows alone). On the labelled documents (``quality`` 1 is good) that pass the base rules, a cutoff is admissible when the exact (Clopper-Pearson) upper
 bound of its false rejection rate is at most ``RISK`` divided by the number of signals; the error of the bounds,
 ``ERROR``, is divided by the number of all bounds computed (Bonferroni), so with probability 1 - ``ERROR`` every
 stratum loses at most ``RISK`` of its good documents. Of the admissible cutoffs the one with the best margin of bad
@@ -34,9 +34,8 @@ WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 RISK, ERROR = 0.05, 0.05
 BUCKETS = 100
-#: A language is a stratum of its own from this share of the labelled documents on, so there are at most 50, and
-#: from so many labelled documents, without which no bound is tight enough.
-STRATUM_SHARE, MAX_STRATA, STRATUM_ROWS = 0.02, 51, 2000
+#: A language is a stratum of its own from this share of the labelled documents on, so there are at most 50.
+STRATUM_SHARE, MAX_STRATA = 0.02, 51
 POOLED = ""
 #: Good rejections weigh this many bad ones.
 GOOD_WEIGHT = 20.0
@@ -140,7 +139,7 @@ def bucket(share: Column) -> Column:
 
 
 def learned_cutoffs(counted: DataFrame, labels: DataFrame) -> dict[str, list[int]]:
-    """Cutoffs per stratum, in the order of ``signals()``; ``POOLED`` is the stratum of all."""
+    """Cutoffs per stratum, in the order of ``signals()``; ``POOLED`` is the stratum of the languages without their own."""
     names = list(signals())
     marked = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_doc"), (F.col("quality") == 1).alias("good"))
     rows = counted.join(marked, F.col("doc_id") == F.col("_doc")).filter(~base_failed())
@@ -152,12 +151,11 @@ def learned_cutoffs(counted: DataFrame, labels: DataFrame) -> dict[str, list[int
     )
     per_lang = cells.filter("signal = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     total = per_lang.agg(F.sum("n")).first()[0] or 0
-    own = [r.lang for r in per_lang.filter(F.col("n") >= F.lit(max(STRATUM_ROWS, STRATUM_SHARE * total))).orderBy("lang").limit(MAX_STRATA - 1).collect() if r.lang != POOLED]
-    known = F.when(F.col("lang").isin(own), F.col("lang")) if own else F.lit(None).cast("string")
+    own = [r.lang for r in per_lang.filter(F.col("n") >= F.lit(STRATUM_SHARE * total)).orderBy("lang").limit(MAX_STRATA - 1).collect() if r.lang != POOLED]
+    stratum = F.when(F.col("lang").isin(own), F.col("lang")).otherwise(POOLED) if own else F.lit(POOLED)
     strata = [POOLED, *own]
     tables = np.zeros((2, len(strata), len(names), BUCKETS), np.int64)
-    both = cells.withColumn("lang", F.lit(POOLED)).unionByName(cells.withColumn("lang", known).filter(F.col("lang").isNotNull()))
-    for r in both.groupBy("lang", "good", "signal", "bucket").agg(F.sum("n").alias("n")).collect():
+    for r in cells.withColumn("lang", stratum).groupBy("lang", "good", "signal", "bucket").agg(F.sum("n").alias("n")).collect():
         tables[int(r.good), strata.index(r.lang), r.signal, r.bucket] += r.n
     cut = choose_cutoffs(tables[1], tables[0])
     return {lang: cut[s].tolist() for s, lang in enumerate(strata)}

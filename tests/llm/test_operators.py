@@ -170,6 +170,22 @@ def test_quality_bound_is_exact_and_cutoffs_are_safe():
     assert quality.choose_cutoffs(good // 1000, bad)[0, 0] == 100
 
 
+@pytest.mark.parametrize(("hot", "rare"), [(3000, 4), (1400, 1)])
+def test_quality_of_rare_languages_is_not_judged_by_a_hot_one(spark, hot, rare):
+    """Good documents of a rare language look like bad ones of the hot language; they stay, at every size."""
+    n = hot + 500 + rare
+    counted = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < hot + 500, "en").when(F.col("id") % 2 == 0, "xx").alias("lang"),
+        *(F.lit(100 if c in ("n_words", "word_chars", "n_letters") else 0).cast("long").alias(c) for c in quality.COUNTS if c != "n_marks"),
+        F.when(F.col("id") >= hot, 50).otherwise(0).cast("long").alias("n_marks"),
+    )
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id").between(hot, hot + 499), 0).otherwise(1).alias("quality"))
+    cutoffs = quality.learned_cutoffs(counted, labels)
+    kept = counted.filter(quality.verdict(cutoffs)).groupBy(F.coalesce("lang", F.lit("xx")).alias("lang")).count().collect()
+    assert set(cutoffs) == {quality.POOLED, "en"}
+    assert {r.lang: r["count"] for r in kept} == {"en": hot, "xx": rare}
+
+
 def test_mixing(spark, docs, none):
     rows = mixing.mixture(docs).collect()
     assert len(rows) == docs.count() and all(0 <= r.copies <= 3 for r in rows)
