@@ -6,10 +6,11 @@ window the states of all words are pooled by attention and give one probability,
 largest one of its windows, so a short toxic passage is not averaged away.
 
 The network is trained on the driver, by backpropagation through time, on at most ``SAMPLE`` toxic and twice as many
-other labelled documents that ``learnable`` marks, in order of a hash of their ids, each as its first ``SAMPLE_WORDS``
-words; this bound is on training alone. A text counts in training by its highest window. One in ``HELD_OUT`` of the
-sample is left out of training and sets the bias, so that a score of one half separates its two kinds best, where a
-false alarm weighs as much as ``ALARM`` misses.
+other labelled documents that ``learnable`` marks, in order of a hash of their ids; this bound is on training alone. A
+text counts in training by the highest window of the whole text, which the executors find before each epoch, so the
+driver holds one window per text. One in about ``HELD_OUT`` of the sample, by hash, is left out of training; its whole
+texts, read in the same way, set the bias, so that a score of one half separates its two kinds best, where a false alarm
+weighs as much as ``ALARM`` misses.
 
 Defined cases: a text without words, or null, scores 0; without labelled texts of both kinds every text scores 0; rows
 with one id are scored each; several labels of one id count each; further columns are ignored; no rows give no rows.
@@ -26,10 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hammertrail.llm.gru import Adam, BiGru, sigmoid, softmax
+from hammertrail.session import cut_lineage
 
 WINDOW, STRIDE, UNITS, CHANNELS = 32, 16, 4, 8
 WORD_SLOTS, GRAM_SLOTS = 1 << 13, 1 << 13
-SAMPLE, SAMPLE_WORDS = 1500, 256
+SAMPLE = 1500
 EPOCHS, BATCH, RATE = 5, 128, 0.02
 HELD_OUT, ALARM = 6, 5.0
 #: Windows that run through the network together, and distinct words a task remembers.
@@ -141,25 +143,26 @@ class ToxicityModel:
         padded[: len(ids)] = ids
         return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE] if len(starts) else np.zeros((0, WINDOW), np.intp)
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def best(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Highest number of the windows of each whole text, minus infinity without words, and the first window that has it."""
         made = [self.cut(ids) for ids in self.word_ids(texts)]
         counts = np.array([len(x) for x in made], np.int64)
-        best = np.full(len(texts), -np.inf)
+        best, at = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
         if counts.sum():
-            logits = self.logits(np.concatenate(made))
-            np.maximum.at(best, np.repeat(np.arange(len(texts)), counts), logits)
-        return np.where(counts > 0, sigmoid(best), 0.0)
-
-    def fit(self, texts: list[str], toxic: np.ndarray) -> None:
-        """Train on most texts, then set the bias on the others."""
-        held = np.arange(len(texts)) % HELD_OUT == 0
-        if len(set(toxic[held])) < 2 or len(set(toxic[~held])) < 2:
-            self.train(texts, toxic)
-            return
-        self.train([x for x, out in zip(texts, held, strict=True) if not out], toxic[~held])
-        made = [self.cut(ids[:SAMPLE_WORDS]) for ids in self.word_ids([x for x, out in zip(texts, held, strict=True) if out])]
-        best = np.array([self.logits(x).max() if len(x) else -np.inf for x in made])
-        yes, no = np.sort(best[toxic[held] == 1]), np.sort(best[toxic[held] == 0])
+            owner, logits = np.repeat(np.arange(len(texts)), counts), self.logits(np.concatenate(made))
+            np.maximum.at(best, owner, logits)
+            hit = np.flatnonzero(logits == best[owner])[::-1]
+            at[owner[hit]] = hit
+            at -= np.where(counts > 0, np.cumsum(counts) - counts, 0)
+        return best, at
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        best, _ = self.best(texts)
+        return np.where(np.isfinite(best), sigmoid(best), 0.0)
+
+    def set_bias(self, best: np.ndarray, toxic: np.ndarray) -> None:
+        """Move the bias so that zero separates the highest windows of the two kinds best."""
+        yes, no = np.sort(best[toxic == 1]), np.sort(best[toxic == 0])
         levels = np.unique(best[np.isfinite(best)])
         middles = (levels[1:] + levels[:-1]) / 2
         if len(middles):
@@ -167,33 +170,20 @@ class ToxicityModel:
             alarms = 1 - np.searchsorted(no, middles) / len(no)
             self.params["bias"] -= np.float32(middles[int((missed + ALARM * alarms).argmin())])
 
-    def train(self, texts: list[str], toxic: np.ndarray, seed: int = 13) -> None:
-        """Cross entropy of the highest window of each text, by backpropagation through time."""
-        random = np.random.default_rng(seed)
-        split = [words_of(x)[:SAMPLE_WORDS] for x in texts]
-        vocabulary = sorted(set().union(*split))
+    def learn(self, windows: list[list[bytes]], toxic: np.ndarray, adam: Adam, epoch: int, random: np.random.Generator) -> None:
+        """One epoch of cross entropy over one window per text, by backpropagation through time."""
+        vocabulary = sorted(set().union(*windows))
         of_word, grams, sizes = slots(vocabulary)
         parts = (of_word, grams, sizes, np.cumsum(sizes) - sizes)
         place = {w: k for k, w in enumerate(vocabulary, 1)}
-        made = [self.cut(np.array([place[w] for w in words], np.intp)) for words in split]
-        good = [k for k, x in enumerate(made) if len(x)]
-        adam = Adam(self.params, RATE)
-        p = self.params
-        steps = EPOCHS * (-(-len(good) // BATCH))
-        for step in range(steps):
-            if step % max(1, steps // EPOCHS) == 0:
-                order = random.permutation(good)
-                # The highest window of each text under the network as it is; at first any window may stand for a text.
-                self.gate_inputs = [np.concatenate([np.zeros((1, 6 * UNITS), np.float32), self.vectors(vocabulary) @ p["gates"] + p["gate_bias"]])]
-                logits = self.logits(np.concatenate([made[k] for k in good]))
-                ends = np.cumsum([len(made[k]) for k in good])
-                top = {k: made[k][int(x.argmax())] for k, x in zip(good, np.split(logits, ends[:-1]), strict=True)}
-            at = (step % max(1, steps // EPOCHS)) * BATCH
-            pick = order[at : at + BATCH]
-            if not len(pick):
-                continue
-            adam.rate = RATE * (1 - 0.8 * step / steps)
-            self._step(adam, np.array([top[k] for k in pick]).T, toxic[pick].astype(np.float32), parts)
+        rows = np.zeros((len(windows), WINDOW), np.intp)
+        for row, words in zip(rows, windows, strict=True):
+            row[: len(words)] = [place[w] for w in words]
+        order, per_epoch = random.permutation(len(windows)), -(-len(windows) // BATCH)
+        for step in range(per_epoch):
+            pick = order[step * BATCH : (step + 1) * BATCH]
+            adam.rate = RATE * (1 - 0.8 * (epoch * per_epoch + step) / (EPOCHS * per_epoch))
+            self._step(adam, rows[pick].T, toxic[pick].astype(np.float32), parts)
         self.forget()
 
     def _step(self, adam: Adam, x: np.ndarray, target: np.ndarray, parts: tuple) -> None:
@@ -241,23 +231,42 @@ class ToxicityModel:
 def trained(docs: DataFrame, labels: DataFrame, learnable: Column) -> ToxicityModel | None:
     marked = labels.filter(F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") == 1).cast("int").alias("_toxic"))
     marked = marked.filter(learnable).withColumn("_h", F.xxhash64("doc_id"))
-    # At most 3 * SAMPLE ids are broadcast, and as many bounded starts of texts come to the driver.
+    # At most 3 * SAMPLE ids are broadcast; their whole texts stay with the executors, and a window of each comes to the driver.
     kinds = [marked.filter(F.col("_toxic") == k).orderBy("_h", "doc_id").limit((2 - k) * SAMPLE).select("doc_id", "_toxic") for k in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(kinds[0].unionByName(kinds[1])), "doc_id")
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
+    sample = cut_lineage(sample.select(F.col("doc_id").cast("long"), "text", F.col("_toxic").alias("toxic"), held.alias("held")))
+    kinds_of = {(r.held, r.toxic) for r in sample.filter(F.trim(F.coalesce("text", F.lit(""))) != "").select("held", "toxic").distinct().collect()}
+    if {toxic for _, toxic in kinds_of} != {0, 1}:
+        return None
+    apart = len(kinds_of) == 4
+    model, random = ToxicityModel(), np.random.default_rng(13)
+    adam = Adam(model.params, RATE)
+    for epoch in range(EPOCHS):
+        windows, _, toxic = highest(model, sample.filter(~F.col("held")) if apart else sample)
+        good = [k for k, x in enumerate(windows) if x]
+        if not good:
+            return None
+        model.learn([windows[k] for k in good], toxic[good], adam, epoch, random)
+    if apart:
+        _, best, toxic = highest(model, sample.filter("held"))
+        model.set_bias(best, toxic)
+    return model
+
+
+def highest(model: ToxicityModel, sample: DataFrame) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """The words of the highest window of each whole text, its number, and whether the text is toxic."""
 
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [b" ".join(words_of(x or "")[:SAMPLE_WORDS]).decode() for x in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string()), batch["_toxic"]], ["doc_id", "text", "toxic"])
+            texts = [x or "" for x in batch["text"].to_pylist()]
+            best, at = model.best(texts)
+            words = [b" ".join(words_of(x)[k * STRIDE : k * STRIDE + WINDOW]) for x, k in zip(texts, at.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(words, pa.binary()), pa.array(best)], ["doc_id", "toxic", "words", "best"])
 
-    rows = sample.select(F.col("doc_id").cast("long"), "text", "_toxic").mapInArrow(start, "doc_id long, text string, toxic int").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    texts, toxic = rows["text"].to_pylist(), np.array(rows["toxic"].to_pylist())
-    if not len(texts) or toxic.min() == toxic.max() or not any(texts):
-        return None
-    model = ToxicityModel()
-    model.fit(texts, toxic)
-    return model
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(read, "doc_id long, toxic int, words binary, best double").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("words", "ascending")])
+    return [x.split() for x in rows["words"].to_pylist()], rows["best"].to_numpy(), rows["toxic"].to_numpy()
 
 
 def score(docs: DataFrame, labels: DataFrame, learnable: Column) -> DataFrame:

@@ -393,6 +393,23 @@ def test_toxicity(spark, docs, none, monkeypatch):
     assert {r.score for r in toxicity.score(docs, marked.limit(0), F.lit(True)).collect()} == {0.0}
 
 
+def test_toxicity_learns_and_calibrates_on_whole_texts(spark, monkeypatch):
+    """Every toxic word stands far behind the first 256 words, and long calm texts end in words that no start has."""
+    small_net(toxicity, monkeypatch, EPOCHS=30)
+    random = np.random.default_rng(12)
+    rows = []
+    for k in range(400):
+        words = [f"word{x}" for x in random.integers(0, 60, 320)] + [f"tail{x}" for x in random.integers(0, 60, 100 * (k % 3))]
+        if k % 4 == 0:
+            words[int(random.integers(280, 320))] = f"vile{random.integers(0, 30)}"
+        rows.append((k, " ".join(words)))
+    marked = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(400)], LABELS)
+    table = prepare(spark).createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(table, marked, F.col("doc_id") % 5 != 0).collect()}
+    held = [k for k in range(400) if k % 5 == 0]
+    assert np.mean([(got[k] >= 0.5) == (k % 4 == 0) for k in held]) >= 0.95
+
+
 def test_pipeline_against_plain_python(spark, tmp_path):
     """The filtering stages keep clean rows; the last stage holds every token of what the mixture took."""
     import corpus_pipeline
