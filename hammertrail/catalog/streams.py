@@ -14,9 +14,12 @@ from hammertrail.streaming import jobs as J
 from hammertrail.streaming import processors as C
 
 
-def _stream(spark, d, view):
-    """A view over the events table, read as a stream."""
-    events = J.read_stream(load_table(spark, d, "events"), f"{d}/events.parquet")
+def _stream(spark, d, view, per_trigger=None):
+    """A view over the events table, read as a stream.
+
+    Its files are in no order of events, so what depends on that order, or on a watermark, takes them as one micro-batch.
+    """
+    events = J.read_stream(load_table(spark, d, "events"), f"{d}/events.parquet", per_trigger)
     return spark.sql(view_sql(view, "spark").replace("FROM events", "FROM {events}"), events=events)
 
 
@@ -36,7 +39,7 @@ def stream_passages(spark, d):
 
 
 def stream_visits(spark, d):
-    out = J.drain(J.visit_stream(_stream(spark, d, "fx_visits")), "visits", "update")
+    out = J.drain(J.visit_stream(_stream(spark, d, "fx_visits", 100)), "visits", "update")
     return J.newest(out, ["visit_key"]).select("visit_key", "visit_count", F.unix_micros("last_visited_at").alias("last_visited_at"))
 
 
