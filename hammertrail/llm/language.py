@@ -2,8 +2,9 @@
 
 The network reads windows of ``WINDOW`` bytes, gives every position a probability per language, and the probabilities
 of all positions of a text are averaged. Windows cover the whole text without overlap. It is trained on the driver, by
-backpropagation through time, on at most ``SAMPLE`` documents with a language that ``learnable`` marks, taken in order
-of a hash of their ids, and at most ``SAMPLE_WINDOWS`` windows of each; at most ``LANGUAGES`` languages are learned.
+backpropagation through time, on at most ``PER_LANGUAGE`` documents of every language that ``learnable`` marks, taken in
+order of a hash of their ids, and at most ``SAMPLE_WINDOWS`` windows of each; every language with a learnable text that
+holds a letter is learned.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows without language are predicted and
 not learned from; without any row to learn from all texts are ``und``; rows with one id are predicted each; further
@@ -13,18 +14,17 @@ columns are ignored; no rows give no rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hammertrail.llm.gru import Adam, BiGru, softmax
 
 WINDOW, UNITS = 96, 4
-SAMPLE, SAMPLE_WINDOWS, LANGUAGES = 3000, 4, 64
+PER_LANGUAGE, SAMPLE_WINDOWS = 750, 4
 STEPS, BATCH, RATE = 160, 256, 0.03
 #: Windows that run through the network together.
 TOGETHER = 4096
@@ -100,8 +100,10 @@ class LanguageModel:
 
 
 def trained(docs: DataFrame, learnable: Column) -> LanguageModel | None:
-    rows = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = rows.select("doc_id", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(SAMPLE).select("doc_id")
+    rows = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    place_of = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).withColumn("_place", place_of)
+    ids = ids.filter(F.col("_place") <= PER_LANGUAGE).select("doc_id", "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,14 +115,13 @@ def trained(docs: DataFrame, learnable: Column) -> LanguageModel | None:
                     parts.append(made[k].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["lang", "part"])
 
-    # At most SAMPLE ids are broadcast, and at most SAMPLE * SAMPLE_WINDOWS windows come to the driver.
-    sample = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("lang", "text").mapInArrow(cut, "lang string, part binary").toArrow()
+    # For every language at most PER_LANGUAGE ids are joined, and SAMPLE_WINDOWS times as many windows come to the driver.
+    sample = rows.join(ids.distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(cut, "lang string, part binary").toArrow()
     if not sample.num_rows:
         return None
-    found = Counter(sample["lang"].to_pylist())
-    languages = sorted(sorted(found, key=lambda x: (-found[x], x))[:LANGUAGES])
+    languages = sorted(set(sample["lang"].to_pylist()))
     place = {x: k for k, x in enumerate(languages)}
-    kept = sorted((place[x], part) for x, part in zip(sample["lang"].to_pylist(), sample["part"].to_pylist(), strict=True) if x in place)
+    kept = sorted((place[x], part) for x, part in zip(sample["lang"].to_pylist(), sample["part"].to_pylist(), strict=True))
     model = LanguageModel(languages)
     model.train(np.frombuffer(b"".join(p for _, p in kept), np.uint8).reshape(-1, WINDOW), np.array([k for k, _ in kept]))
     return model

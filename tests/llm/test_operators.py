@@ -372,6 +372,16 @@ def test_language_id(spark, docs, none, monkeypatch):
     assert {r.lang_pred for r in language.identify(docs, F.lit(False)).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """Seventy languages of one document each beside a hot one."""
+    small_net(language, monkeypatch, STEPS=1)
+    table = prepare(spark).range(3570).select(
+        F.col("id").alias("doc_id"), F.lit("some words").alias("text"),
+        F.when(F.col("id") < 3500, "hot").otherwise(F.concat(F.lit("l"), F.col("id"))).alias("lang"),
+    )
+    assert language.trained(table, F.lit(True)).languages == ["hot", *(f"l{k}" for k in range(3500, 3570))]
+
+
 def test_toxicity(spark, docs, none, monkeypatch):
     small_net(toxicity, monkeypatch, EPOCHS=30)
     random = np.random.default_rng(8)
