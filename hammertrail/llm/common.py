@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hammertrail.session import apply_settings
+from hammertrail.session import apply_settings, cut_lineage
 
 #: Python workers see texts in small Arrow batches, so that a batch of very long texts stays small.
 BATCH_ROWS = 256
@@ -74,3 +74,39 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     for k in range(width):
         out = mixed((out * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[k : n - width + 1 + k])
     return out
+
+
+def with_positions(df: DataFrame, groups: list[str], order: list[str], extra: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``position`` (long, from 0), the place of each row within its group in the given order.
+
+    One range shuffle sorts the table; only one row per (partition, group) is ordered per group, so a group that
+    holds most rows spreads over all tasks. Nulls come first. Rows with equal keys are told apart by their place in
+    ``df``, which must be a written table when such rows differ in other columns. ``extra`` holds columns of whole
+    groups, keyed by ``groups``; they reach the rows through the small table and never by a join on a hot key.
+    """
+    keys = [*groups, *order, "_tie"]
+    ranged = (
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+        .withColumn("_row", F.monotonically_increasing_id())
+    )
+    # monotonically_increasing_id() is the partition in the upper bits and the place in it in the lower 33.
+    ranged = cut_lineage(ranged.withColumn("_part", F.shiftright("_row", 33)))
+    cells = ranged.groupBy("_part", *groups).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if extra is not None:
+        cells = null_safe_join(cells, extra, groups, "inner")
+    added = [] if extra is None else [c for c in extra.columns if c not in groups]
+    placed = null_safe_join(ranged, cells, ["_part", *groups], "inner")
+    return placed.select(*df.columns, *added, (F.col("_row") - F.col("_first") + F.col("_before")).alias("position"))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on equal keys, nulls equal to each other; the keys of ``right`` are dropped."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    matches = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    condition = matches[0]
+    for match in matches[1:]:
+        condition = condition & match
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hammertrail.llm import (
-    language, licenses, line_dedup, minhash, mixing, packing, pivot_index, quality, toxicity, url_filter,
+    language, licenses, line_dedup, merkle, minhash, mixing, packing, pivot_index, quality, toxicity, url_filter,
 )
 from hammertrail.llm.common import crc_of_id, table
 
@@ -60,17 +60,42 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(table(spark, sf_dir, "documents")).drop("proof")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pivot_dedup, op2_quality_rules, op3_language_id, op4_toxicity, op5_source_mixing, op6_minhash_dedup,
-        op7_license_scan, op8_packing, op9_url_filter, op10_line_dedup,
+        op7_license_scan, op8_packing, op9_url_filter, op10_line_dedup, op11_merkle_manifest,
     )
 }
 
 ASCII_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORDS = r"'[^\x20\x09-\x0D]+'"
+#: Two tables for crc32: the eight shifts of every byte, and their results as one list.
+CRC_TABLE = """bits AS (
+  SELECT k, k::BIGINT AS v, 0 AS s FROM range(256) r(k)
+  UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, s + 1 FROM bits WHERE s < 8
+), crc_table AS (
+  SELECT list(v ORDER BY k) AS t FROM bits WHERE s = 8
+)"""
+
+
+def crc_sql(text: str) -> str:
+    """crc32 of an ASCII text, where ``t`` is the list of crc_table."""
+    return (
+        f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda y: ascii(y)::BIGINT)), "
+        "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+
+
+def field_sql(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
 
 SQL: dict[str, str] = {
     "op1_pivot_dedup": """
@@ -161,4 +186,51 @@ WITH RECURSIVE d AS (
 )
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
 FROM d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE {CRC_TABLE}, leaves AS (
+  SELECT doc_id, lang, sha256(head || {field_sql("text")}) AS leaf,
+         CASE WHEN {crc_sql("doc_id::VARCHAR")} % 3 = 0 THEN sha256(head || {field_sql(f"translate(text, {ASCII_LOWER})")})
+         ELSE sha256(head || {field_sql("text")}) END AS tampered
+  FROM (SELECT *, {field_sql("doc_id")} || {field_sql("source")} || {field_sql("lang")} || {field_sql("n_chars")} AS head
+        FROM documents), crc_table
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves
+), low AS (
+  SELECT lang, 0 AS level, i, leaf AS h FROM placed
+  UNION ALL
+  SELECT lang, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM low) WHERE n > 1 GROUP BY lang, level, i // 8
+), subroots AS (
+  SELECT lang, level AS levels, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+  FROM (SELECT *, max(level) OVER (PARTITION BY lang) AS last FROM low) WHERE level = last
+), high AS (
+  SELECT 0 AS level, tree AS i, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER () AS n FROM high) WHERE n > 1 GROUP BY level, i // 8
+), top AS (
+  SELECT level AS levels, h AS root FROM high ORDER BY level DESC LIMIT 1
+), runs AS (
+  SELECT s.tree, level, i // 8 AS run, list(h ORDER BY i) AS hs FROM low JOIN subroots s ON low.lang IS NOT DISTINCT FROM s.lang
+  WHERE level < s.levels GROUP BY ALL
+  UNION ALL
+  SELECT -1, level, i // 8, list(h ORDER BY i) FROM high WHERE level < (SELECT levels FROM top) GROUP BY ALL
+), climb AS (
+  SELECT s.tree, p.i AS leaf_no, CASE WHEN s.levels = 0 THEN -1 ELSE s.tree END AS inside, 0 AS level,
+         CASE WHEN s.levels = 0 THEN s.tree ELSE p.i END AS i, s.levels, p.tampered AS folded, '' AS siblings
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT c.tree, leaf_no, CASE WHEN inside >= 0 AND c.level + 1 = levels THEN -1 ELSE inside END,
+         CASE WHEN inside >= 0 AND c.level + 1 = levels THEN 0 ELSE c.level + 1 END,
+         CASE WHEN inside >= 0 AND c.level + 1 = levels THEN c.tree ELSE i // 8 END, levels,
+         sha256(array_to_string(hs[:i % 8], '') || folded || array_to_string(hs[i % 8 + 2:], '')),
+         siblings || array_to_string(hs[:i % 8], '') || array_to_string(hs[i % 8 + 2:], '')
+  FROM climb c JOIN runs r ON r.tree = c.inside AND r.level = c.level AND r.run = c.i // 8
+), done AS (
+  SELECT c.* FROM climb c, top WHERE inside = -1 AND c.level = top.levels
+)
+SELECT p.doc_id, p.leaf, s.subroot, top.root, sha256(siblings) AS proof_sha256, folded AS folded_root,
+       folded = top.root AS verified
+FROM done d JOIN subroots s ON s.tree = d.tree
+JOIN placed p ON p.lang IS NOT DISTINCT FROM s.lang AND p.i = d.leaf_no, top""",
 }
