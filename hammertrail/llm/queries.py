@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hammertrail.llm import (
-    language, licenses, line_dedup, merkle, minhash, mixing, packing, pivot_index, quality, toxicity, url_filter,
+    language, licenses, line_dedup, merkle, minhash, mixing, packing, pivot_index, quality, sharding, toxicity, trie, url_filter,
 )
 from hammertrail.llm.common import crc_of_id, table
 
@@ -64,11 +64,22 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(table(spark, sf_dir, "documents")).drop("proof")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), 16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pivot_dedup, op2_quality_rules, op3_language_id, op4_toxicity, op5_source_mixing, op6_minhash_dedup,
         op7_license_scan, op8_packing, op9_url_filter, op10_line_dedup, op11_merkle_manifest,
+        op12_prefix_trie, op13_sharding,
     )
 }
 
@@ -233,4 +244,36 @@ SELECT p.doc_id, p.leaf, s.subroot, top.root, sha256(siblings) AS proof_sha256,
        folded = top.root AS verified
 FROM done d JOIN subroots s ON s.tree = d.tree
 JOIN placed p ON p.lang IS NOT DISTINCT FROM s.lang AND p.i = d.leaf_no, top""",
+    "op12_prefix_trie": f"""
+WITH RECURSIVE {CRC_TABLE}, turns AS (
+  SELECT conv_id, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS sha,
+         strlen(coalesce(text, '')) AS bytes, turn FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha) AS pos FROM turns
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, {crc_sql("conv_id::VARCHAR")} % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table
+), rebuilt AS (
+  SELECT c.conv_id, p.sha, p.bytes, row_number() OVER (PARTITION BY c.conv_id ORDER BY p.conv_id <> c.base, p.pos) AS depth
+  FROM convs c JOIN placed p ON (p.conv_id = c.base AND p.pos <= c.h) OR (p.conv_id = c.conv_id AND p.pos > c.h)
+), rows AS (
+  SELECT c.conv_id, d.depth, list_aggregate(list(r.sha ORDER BY r.depth), 'string_agg', '') AS path, arg_max(r.bytes, r.depth) AS bytes
+  FROM convs c JOIN rebuilt r ON r.conv_id = c.conv_id JOIN rebuilt d ON d.conv_id = c.conv_id AND r.depth <= d.depth GROUP BY 1, 2
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+), marked AS (
+  SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM rows
+), nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '') AS ends
+  FROM marked GROUP BY depth, path
+), kids AS (
+  SELECT left(path, length(path) - 64) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), full_nodes AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.path = n.path
+)
+SELECT u.conv_id, u.depth, p.conv_id AS parent_conv_id, u.n_convs, u.n_children,
+       count(*) FILTER (v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.bytes)::BIGINT AS saved_tokens, sha256(u.ends) AS ends_sha256
+FROM full_nodes u JOIN full_nodes v ON starts_with(v.path, u.path)
+LEFT JOIN nodes p ON u.depth > 0 AND p.path = left(u.path, length(u.path) - 64)
+GROUP BY u.conv_id, u.depth, p.conv_id, u.n_convs, u.n_children, u.ends, u.path""",
 }
