@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from hammertrail.session import shared_dir
 
+#: Event time of the row that ends a stream: the last year that fits the nanoseconds of pandas.
+END_TIME = "2261-01-01"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -25,16 +27,47 @@ def read_stream(like: DataFrame, path: str, per_trigger: int | None = 100) -> Da
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", where: str | None = None) -> DataFrame:
+def _end(where: str) -> str:
+    return f"{where}/end"
+
+
+def with_end(rows: DataFrame, where: str) -> DataFrame:
+    """``rows`` of a stream and, once ``drain`` has written it, the row that ends them.
+
+    The end has no id and an ``event_time`` in the far future: the watermark passes all rows held before it.
+    """
+    spark = rows.sparkSession
+    spark.createDataFrame([], rows.schema).write.mode("append").parquet(_end(where))
+    return rows.unionByName(spark.readStream.schema(rows.schema).parquet(_end(where)))
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream that all executors reach."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", where: str | None = None, ends: DataFrame | None = None) -> DataFrame:
     """Process what is there and return the written result.
 
     Append streams go to the file sink, which is exactly-once. Other modes
     write every micro-batch to a folder of its own number, so a repeated batch
     replaces itself; the column ``batch`` tells newer results from older.
+    A stream over ``with_end(ends, where)`` is run again from its checkpoint
+    with the end written, which folds the rows it holds; without ``ends`` they
+    stay in the state, and a later run goes on.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    base = where or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+    base = where or folder(spark, name)
+    _run_once(stream, base, mode)
+    if ends is not None:
+        row = {c: F.lit(None).cast(t) for c, t in ends.dtypes} | {"event_time": F.lit(END_TIME).cast("timestamp")}
+        spark.range(1).select(*[row[c].alias(c) for c in ends.columns]).write.mode("append").parquet(_end(base))
+        _run_once(stream, base, mode)
+    return spark.read.schema(_with_batch(stream, mode)).parquet(f"{base}/out")
+
+
+def _run_once(stream: DataFrame, base: str, mode: str) -> None:
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.outputMode("append").format("parquet").option("path", f"{base}/out").start()
@@ -44,7 +77,6 @@ def drain(stream: DataFrame, name: str, mode: str = "append", where: str | None
 
         query = writer.outputMode(mode).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(_with_batch(stream, mode)).parquet(f"{base}/out")
 
 
 def _with_batch(stream: DataFrame, mode: str):
@@ -69,11 +101,10 @@ def visit_stream(visits: DataFrame) -> DataFrame:
     )
 
 
-def windowed_activity(stream: DataFrame, size: str = "1 day", slide: str | None = None, late: str = "6 hours") -> DataFrame:
-    """Snapshots, sales and mean price per window and status."""
+def _activity(rows: DataFrame, size: str, slide: str | None) -> DataFrame:
     window = F.window("scraped_at", size, slide) if slide else F.window("scraped_at", size)
     return (
-        stream.withWatermark("scraped_at", late).groupBy(window, "status")
+        rows.groupBy(window, "status")
         .agg(
             F.count("*").alias("n"),
             F.count("starting_price").alias("n_priced"),
@@ -83,6 +114,34 @@ def windowed_activity(stream: DataFrame, size: str = "1 day", slide: str | None
     )
 
 
+def windowed_activity(stream: DataFrame, size: str = "1 day", slide: str | None = None, late: str = "6 hours") -> DataFrame:
+    """Snapshots, sales and mean price per window and status, with bounded state.
+
+    Rows more than ``late`` behind the newest one are not counted; ``drain_activity`` counts them.
+    """
+    return _activity(stream.withWatermark("scraped_at", late), size, slide)
+
+
+def drain_activity(stream: DataFrame, name: str, size: str = "1 day", slide: str | None = None, where: str | None = None) -> DataFrame:
+    """The same counts over everything there, however late.
+
+    Every micro-batch writes its own counts to a folder of its number, so a
+    repeated batch replaces itself; counts and sums of the batches add up.
+    There is no state, and a late row adds to its window like any other.
+    """
+    spark = stream.sparkSession
+    base = where or folder(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        _activity(batch, size, slide).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    writer.foreachBatch(write).start().awaitTermination()
+    schema = "start timestamp, status string, n long, n_priced long, price_sum long, batch long"
+    parts = spark.read.schema(schema).parquet(f"{base}/out")
+    return parts.groupBy("start", "status").agg(*[F.sum(c).alias(c) for c in ("n", "n_priced", "price_sum")])
+
+
 def watchlist_alerts(price_moves: DataFrame, watch: DataFrame) -> DataFrame:
     """Price moves of watched entities whose watcher wants them.
 

@@ -8,23 +8,26 @@ import shutil
 import pyarrow.parquet as pq
 import pytest
 
-from hammertrail.catalog import all_queries
+from hammertrail.catalog import all_queries, streams
+from hammertrail.streaming import jobs as J
+from hammertrail.streaming import processors as C
+from hammertrail.streaming.late import healed
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
 def many_files(tmp_path_factory):
-    """The same tables, the events in 250 files of which the first ones hold the latest events."""
+    """The same tables, the events in 120 files of which the first ones hold the latest events."""
     made = tmp_path_factory.mktemp("many")
     for name in os.listdir(SF):
         if name != "events.parquet":
             shutil.copyfile(f"{SF}/{name}", made / name)
     events = pq.read_table(f"{SF}/events.parquet").sort_by([("ts", "descending")])
     (made / "events.parquet").mkdir()
-    for k in range(250):
+    for k in range(120):
         path = made / "events.parquet" / f"part-{k:03d}.parquet"
-        first, end = k * len(events) // 250, (k + 1) * len(events) // 250
+        first, end = k * len(events) // 120, (k + 1) * len(events) // 120
         pq.write_table(events.slice(first, end - first), path)
         os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
     return str(made)
@@ -32,7 +35,45 @@ def many_files(tmp_path_factory):
 
 @pytest.mark.parametrize("name", ["stream_list", "stream_detail", "stream_passages", "stream_alerts", "stream_activity", "stream_sliding"])
 def test_number_and_order_of_files_do_not_matter(spark, many_files, name):
+    """Two micro-batches, the later events first."""
     query = all_queries()[name]
     want, got = (sorted(map(str, query(spark, d).collect())) for d in (SF, many_files))
     assert len(got) == len(want)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["list_moves", "detail_actions", "passage_numbers"])
+@pytest.mark.parametrize("per_trigger, late", [(10, "3650 days"), (40, "1 day")])
+def test_many_micro_batches(spark, many_files, name, per_trigger, late):
+    """Twelve micro-batches with no row late, and three of which nearly all rows are behind the watermark."""
+    query = getattr(streams, name)
+    want = sorted(map(str, query(spark, SF, late="3650 days").collect()))
+    got = sorted(map(str, query(spark, many_files, per_trigger=per_trigger, late=late).collect()))
+    assert got == want
+
+
+def test_rows_behind_the_watermark_are_missing_until_healed(spark, many_files):
+    found = streams._folded(spark, many_files, "list", C.list_rows, C.list_stream, 40, "1 day")
+    log = streams.snapshots(spark, many_files)
+    assert 0 < found.count() < log.count()
+    assert healed(found, log, ["vehicle_id"], streams._moves).count() == log.count()
+
+
+def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Half of the files, then the rest in a new run that finds rows held and rows folded by the first."""
+    events = pq.read_table(f"{SF}/events.parquet").sort_by([("ts", "ascending")])
+    (tmp_path / "events.parquet").mkdir()
+    def put(first, end):
+        for k in range(first, end):
+            a, b = k * len(events) // 8, (k + 1) * len(events) // 8
+            pq.write_table(events.slice(a, b - a), tmp_path / "events.parquet" / f"part-{k}.parquet")
+    put(0, 4)
+    where = J.folder(spark, "restart")
+    rows = C.list_rows(streams._stream(spark, str(tmp_path), "fx_snapshots", 1))
+    fold = C.list_stream(J.with_end(rows, where), late="12 hours")
+    early = J.drain(fold, "restart", where=where).count()
+    put(4, 8)
+    got = J.drain(fold, "restart", where=where, ends=rows)
+    want = streams.list_moves(spark, SF, late="3650 days").drop("id")
+    assert 0 < early < got.count() == len(events)
+    assert sorted(map(str, got.filter("stored").drop("id").collect())) == sorted(map(str, want.collect()))
