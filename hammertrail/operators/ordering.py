@@ -1,9 +1,9 @@
 """Order-dependent building blocks that stay balanced when one key is hot.
 
 A plain window over (key ORDER BY time) sends every row of a key to one task.
-The helpers here split a key by a calendar chunk first, so a task holds one
-chunk of one key; only one small row per chunk is ordered per key, and the
-number of chunks is bounded by the calendar, not by the data.
+The helpers here split a key by a calendar chunk first, and a chunk of more
+than ``HOT_ROWS`` rows by ranges of its order, so a task holds one part of one
+chunk of one key; only one small row per part is ordered per key.
 """
 
 from __future__ import annotations
@@ -11,6 +11,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hammertrail.session import cut_lineage
+
+#: Rows of one key in one calendar chunk that one task may order.
+HOT_ROWS = 1 << 16
+
+
+def _chunked(df: DataFrame, keys: list[str], chunk: Column, order: list[Column]) -> DataFrame:
+    """``df`` with ``_chunk``: the calendar chunk, and the range of the order that a row of a hot chunk falls in.
+
+    Hot chunks are found by counting; there is at most one per ``HOT_ROWS`` rows. Only their rows are shuffled once
+    more, by range, and written, so that their parts stay what they are.
+    """
+    rows = df.withColumn("_chunk", F.struct(chunk.alias("at"), F.lit(0).alias("part")))
+    hot = rows.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.col("_chunk.at").alias("_hot_at")).count()
+    hot = hot.filter(F.col("count") > HOT_ROWS).drop("count")
+    if hot.isEmpty():
+        return rows
+    hot = cut_lineage(hot)
+    same = F.col("_chunk.at") == F.col("_hot_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+    part = F.struct(F.col("_chunk.at").alias("at"), (F.spark_partition_id() + 1).alias("part"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    warm = rows.join(hot, same, "left_semi").repartitionByRange(parts, *keys, *order).withColumn("_chunk", part)
+    return rows.join(hot, same, "left_anti").unionByName(cut_lineage(warm))
+
 
 def latest_by(df: DataFrame, keys: list[str], order: list[Column], cols: list[str]) -> DataFrame:
     """The last row per key; map-side partial aggregation, no window."""
@@ -36,7 +62,7 @@ def running_total(
     ``chunk`` must be non-null and must not decrease along ``order``. The
     input is read twice, so hand in a written or cheap frame.
     """
-    rows = df.withColumn("_chunk", chunk).withColumn("_value", value)
+    rows = _chunked(df, keys, chunk, order).withColumn("_value", value)
     sums = rows.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -68,7 +94,7 @@ def with_previous(
     """
     inner = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     rows = (
-        df.withColumn("_chunk", chunk)
+        _chunked(df, keys, chunk, order)
         .withColumn("_value", value)
         .withColumn("_at", F.row_number().over(inner))
         .withColumn("_lag", F.lag("_value").over(inner))
@@ -95,7 +121,7 @@ def with_next(
     ``order`` names ascending columns; ``chunk`` must be non-null and must not
     decrease along them.
     """
-    rows = df.withColumn("_chunk", chunk).withColumn("_value", value)
+    rows = _chunked(df, keys, chunk, [F.col(c) for c in order]).withColumn("_value", value)
     heads = rows.groupBy(*keys, "_chunk").agg(
         F.min_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_head")
     )

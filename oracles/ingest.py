@@ -22,7 +22,33 @@ SELECT n.vehicle_id, n.id, o.id AS oid, n.starting_price AS np, o.starting_price
 SELECT *, coalesce(coalesce(nl, ol), 0) >= 500 OR coalesce(ns, 0) >= 500 OR coalesce(coalesce(nm, om), 0) >= 1000 AS bad,
   coalesce(nl, 0) >= 500 OR coalesce(ns, 0) >= 500 OR coalesce(nm, 0) >= 1000 AS nbad FROM jn""")]
 
+
+def _fake(price: str, live: str, sold: str, market: str, new: str) -> str:
+    return f"coalesce({price}, 0) = 100 AND (greatest(coalesce({live}, 0), coalesce({sold}, 0)) >= 500 OR greatest(coalesce({market}, 0), coalesce({new}, 0)) >= 1000)"
+
+
+OWN = _fake("starting_price", "live_price", "sold_price", "market_value", "new_price")
+SIGNALS = ("coalesce(live_price, o.live_price)", "sold_price", "coalesce(market_value, o.market_value)", "coalesce(new_price, o.new_price)")
+BEST = f"CASE WHEN starting_price IS NULL OR ({_fake('starting_price', *SIGNALS)}) THEN o.starting_price ELSE starting_price END"
+KNOWN = ["market_value", "new_price", "live_price", "sold_price", "sale_date", "sale_time", "center"]
+TEXTS = ["reference", "hash_id", "technical_check_url", "observations"]
+COMPARED = ["starting_price", *KNOWN, "city", "technical_check_url", "observations", "status"]
+FRESH = "{" + f"'starting_price': CASE WHEN NOT ({OWN}) THEN starting_price END, " + ", ".join(f"'{c}': {c}" for c in [*KNOWN, *TEXTS, "city", "status"]) + "}"
+MERGED = "{" + f"'starting_price': CASE WHEN NOT ({_fake('(' + BEST + ')', *SIGNALS)}) THEN {BEST} END, " + ", ".join(
+    [f"'{c}': coalesce({c}, o.{c})" for c in KNOWN] + [f"'{c}': coalesce(nullif({c}, ''), o.{c})" for c in TEXTS] + [f"'{c}': {c}" for c in ("city", "status")]) + "}"
+DIFFERS = " OR ".join([f"o.{c} IS DISTINCT FROM {c}" for c in COMPARED] + [f"(coalesce(o.{c}, '') = '' AND coalesce({c}, '') <> '')" for c in ("reference", "hash_id")])
+DETAIL = with_ctes([SNAP, ("sq", "SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY scraped_at, id) AS rn FROM fx_snapshots"),
+    ("g", f"""
+SELECT vehicle_id, rn, id, 'insert' AS action, id AS stored_id, scraped_at AS seen, {FRESH} AS o FROM sq WHERE rn = 1
+UNION ALL
+SELECT vehicle_id, rn, id, act, CASE act WHEN 'insert' THEN id ELSE stored_id END, CASE act WHEN 'duplicate' THEN seen ELSE scraped_at END,
+  CASE act WHEN 'insert' THEN {FRESH} WHEN 'duplicate' THEN o ELSE {MERGED} END
+FROM (SELECT s.*, g.o, g.stored_id, g.seen, CASE WHEN s.scraped_at - INTERVAL 6 HOUR > g.seen THEN 'insert' WHEN {DIFFERS.replace(" DISTINCT FROM ", " DISTINCT FROM s.").replace("coalesce(reference", "coalesce(s.reference").replace("coalesce(hash_id", "coalesce(s.hash_id")}
+  THEN 'enrich' ELSE 'duplicate' END AS act FROM g JOIN sq s ON s.vehicle_id = g.vehicle_id AND s.rn = g.rn + 1) x""")],
+    "SELECT id AS snapshot_id, vehicle_id, action, stored_id FROM g").replace("WITH ", "WITH RECURSIVE ", 1)
+
 SQL = {
+    "greedy_detail": DETAIL,
     "greedy_list": with_ctes([SNAP, ("sq", "SELECT id, vehicle_id, scraped_at, row_number() OVER (PARTITION BY vehicle_id ORDER BY scraped_at, id) AS rn FROM fx_snapshots"),
         ("g", """
 SELECT vehicle_id, rn, id, scraped_at AS anchor, true AS kept FROM sq WHERE rn = 1

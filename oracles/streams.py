@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracles.base import chain_ctes, view, with_ctes
+from oracles.ingest import DETAIL
 from oracles.tracking import DELTA
 
 SNAP = view("fx_snapshots")
@@ -20,6 +21,7 @@ def recursive(body: str, extra: list[tuple[str, str]] | None = None) -> str:
 
 
 SQL = {
+    "stream_detail": DETAIL,
     "stream_list": recursive("SELECT * FROM mv"),
     "stream_alerts": recursive("""
 SELECT mv.vehicle_id, snapshot_id, price_changed, CASE WHEN price_changed < 0 THEN 'price_drop' ELSE 'price_up' END AS type

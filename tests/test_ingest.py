@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from hammertrail.operators import ingest as N
@@ -87,3 +89,21 @@ def test_merge_keeps_facts(spark):
     merged = N.merge_enrichment({c: F.col("o_" + c) for c in names}, {c: F.col("n_" + c) for c in names})
     row = pair.select(*[v.alias(k) for k, v in merged.items()]).first()
     assert (row["reference"], row["starting_price"], row["sold_price"], row["photo_urls"], row["status"]) == ("R1", 21300, 22000, '["a","b"]', "sold")
+
+
+@pytest.mark.parametrize("run_rows", [1024, 2])
+def test_list_suppression_of_long_runs(spark, monkeypatch, run_rows):
+    """Runs folded in place and runs followed by links, with equal times and gaps met to the microsecond."""
+    monkeypatch.setattr(N, "RUN_ROWS", run_rows)
+    rng = random.Random(4)
+    hour = 3_600_000_000
+    rows = [(k, k % 3, 10**15 + rng.choice([0, 1, rng.randrange(60)]) * hour // 2 + rng.choice([0, 0, 1])) for k in range(500)]
+    df = spark.createDataFrame(rows, "id long, vehicle_id long, us long").withColumn("scraped_at", F.timestamp_micros("us"))
+    want = set()
+    for v in range(3):
+        at = None
+        for us, row_id in sorted((us, k) for k, e, us in rows if e == v):
+            if at is None or us - at > 6 * hour:
+                at = us
+                want.add((row_id, v))
+    assert set(map(tuple, N.list_suppression(df).collect())) == want
