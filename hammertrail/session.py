@@ -16,6 +16,10 @@ SETTINGS = {
 }
 
 
+#: Folders of local sessions in which ``spark.checkpoint.dir`` is unset, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Set the runtime SQL options on an existing session."""
     for key, value in SETTINGS.items():
@@ -53,11 +57,13 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="hammertrail-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    # The option cannot be set on a running session, so the folder is kept here.
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="hammertrail-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
