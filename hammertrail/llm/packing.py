@@ -14,6 +14,9 @@ documents; further columns are ignored; no rows give no rows.
 
 from __future__ import annotations
 
+import itertools
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +32,7 @@ CAPACITY, STEP, END = 2048, 8, 1
 UNITS = CAPACITY // STEP
 #: Hash cells per class, so that a class with a third of all rows is ranked in many tasks.
 CELLS = 64
-#: Distinct chunks of text whose ids a task remembers.
+#: Distinct pieces of text whose ids a task remembers.
 REMEMBERED = 200_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -41,31 +44,80 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class ChunkTokenizer:
-    """Ids of texts from the ids of their chunks between ASCII white space, which tokens of this kind never cross."""
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in vocabularies of bytes: itself if it prints, else the next after 255."""
+    printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+#: Letters whose lower case and kind are the same everywhere; texts of these, printable ASCII and white space are cut here.
+LATIN = "À-ÖØ-öø-\u012f\u0131-\u017f"
+PLAIN = re.compile(rf"[\x20-\x7e\t\n\x0b\x0c\r{LATIN}]*")
+#: The pattern by which the tokenizer cuts lower-cased text, for these characters.
+CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\sa-z0-9{LATIN}]+")
+
+
+class PieceTokenizer:
+    """Ids of texts from the remembered ids of their pieces.
+
+    A piece is what the tokenizer cuts a lower-cased text into: a word, a digit, a run of signs. White-space chunks
+    with other characters, or with the start of a special token, go through the whole tokenizer and are remembered
+    too. Beyond ``REMEMBERED`` entries the older half is forgotten.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        split = [text.encode().split() for text in texts]
-        new = list(set().union(*split).difference(known))
-        for chunk, made in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
-            known[chunk] = np.array(made.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4") for chunks in split]
+        return [np.frombuffer(b"".join(self._runs(text)), "<u4") for text in texts]
+
+    def _runs(self, text: str) -> Iterator[bytes]:
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            yield from self._plain(text)
+            return
+        # Runs of plain chunks between others; ASCII white space, at which bytes are split, is never inside a token.
+        chunks, plain = [x.decode() for x in text.encode().split()], []
+        for chunk in chunks:
+            if PLAIN.fullmatch(chunk) and "<|" not in chunk:
+                plain.append(chunk)
+                continue
+            yield from self._plain(" ".join(plain))
+            plain = []
+            if chunk not in self.chunks:
+                self._forget(self.chunks)
+                self.chunks[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            yield self.chunks[chunk]
+        yield from self._plain(" ".join(plain))
+
+    def _plain(self, text: str) -> Iterator[bytes]:
+        cut, known = CUT.findall(text.lower()), self.pieces
+        new = set(cut).difference(known)
+        if new:
+            self._forget(known)
+            new = set(cut).difference(known)
+        for piece in new:
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            known[piece] = struct.pack(f"<{len(found := self.model.tokenize(letters))}I", *[token.id for token in found])
+        return map(known.__getitem__, cut)
+
+    @staticmethod
+    def _forget(known: dict) -> None:
+        if len(known) > REMEMBERED:
+            for key in list(itertools.islice(known, REMEMBERED // 2)):
+                del known[key]
 
 
 def token_pieces(docs: DataFrame, path: str) -> DataFrame:
     """The pieces of every document: whole sequences, then the rest."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize = ChunkTokenizer(path)
+        tokenize = PieceTokenizer(path)
         for batch in batches:
             made = []
             texts = [x or "" for x in batch["text"].to_pylist()]

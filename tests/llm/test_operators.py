@@ -257,7 +257,7 @@ def test_tokens_by_chunk_equal_tokens_of_the_text():
 
     text = "Don't  stop—ΑΣ ΣΑΣ x y <|endoftext|> 1234\tÉtat é \U0001f600!!\r\n'll ok"
     whole = Tokenizer.from_file(packing.vocabulary()).encode(text, add_special_tokens=False).ids
-    assert packing.ChunkTokenizer(packing.vocabulary())([text])[0].tolist() == whole
+    assert packing.PieceTokenizer(packing.vocabulary())([text])[0].tolist() == whole
 
 
 def test_pivot_index_against_brute_force(spark):
