@@ -15,8 +15,9 @@ A document's set holds the distinct runs of ``size`` words; two documents are li
 With ``BANDS`` bands of ``ROWS`` values a pair at the threshold of 0.8 misses all buckets with a chance of 2e-6.
 
 Defined cases: a text without words, or null, has an empty set, is linked with nothing and is kept; fewer words than
-``size`` count as one run; rows with the same id are one document if their texts agree and otherwise linked through
-that id; a null id sorts after all others only inside its class; no rows give no rows.
+``size`` count as one run; rows are compared by their sets, whatever their ids, and rows with one id are linked
+through it, but for those with empty sets; rows without an id take the smallest id of their component, null where it
+has none; further columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def least_matches(percent: int) -> list[int]:
 
 
 def sets(docs: DataFrame, size: int, signed: bool) -> DataFrame:
-    """(id, n, digest and, if ``signed``, bands and signature, else the sorted set) of every text."""
+    """(doc_id, n, digest and, if ``signed``, bands and signature, else the sorted set) of every text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -102,27 +103,27 @@ def sets(docs: DataFrame, size: int, signed: bool) -> DataFrame:
             for text in batch["text"].to_pylist():
                 members = np.unique(shingles(hashes((text or "").encode().lower().split()), size))
                 n.append(len(members))
+                digest.append(xxhash.xxh3_128_digest(members.tobytes()))
                 if not signed:
                     full.append(members.tobytes())
                     continue
-                digest.append(xxhash.xxh3_128_digest(members.tobytes()))
                 best = signature(members) if len(members) else np.zeros(BANDS * ROWS, np.uint32)
                 bands.append(band_keys(best))
                 kept.append(best[:KEPT].astype(np.uint16).tobytes())
-            columns = {"id": batch["id"], "n": pa.array(n, pa.int64())}
+            columns = {"doc_id": batch["doc_id"], "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary())}
             if signed:
                 flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
                 offsets = pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32))
                 columns |= {
-                    "digest": pa.array(digest, pa.binary()), "bands": pa.ListArray.from_arrays(offsets, pa.array(flat)),
+                    "bands": pa.ListArray.from_arrays(offsets, pa.array(flat)),
                     "kept": pa.array(kept, pa.binary()),
                 }
             else:
                 columns["members"] = pa.array(full, pa.binary())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    shape = "digest binary, bands array<long>, kept binary" if signed else "members binary"
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(rows, f"id long, n long, {shape}")
+    shape = "bands array<long>, kept binary" if signed else "members binary"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, f"doc_id long, n long, digest binary, {shape}")
 
 
 def posterior_filter(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
@@ -219,7 +220,7 @@ def links_across(open_: DataFrame, signs: DataFrame, members: DataFrame, percent
         F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list(F.struct("band", "lo", "hi", "asks")).alias("places")
     )
     wanted = open_.select("id").distinct()
-    signed = signs.join(wanted, "id", "left_semi").select("id", "kept", "bands").dropDuplicates(["id"])
+    signed = signs.join(wanted, "id", "left_semi").select("id", "kept", "bands")
     rows = once.join(signed, "id").join(members.select("id", "members"), "id")
     least = least_matches(percent)
 
@@ -290,12 +291,13 @@ def _components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
-    signs = cut_lineage(sets(docs, size, signed=True))
-    # Equal sets are linked through the smallest id of their class; empty sets stand alone.
-    small = signs.select("id", "n", "digest")
+    # Rows are told apart by number: an id may be null, or stand before several texts.
+    signs = cut_lineage(sets(docs, size, signed=True).withColumn("id", F.monotonically_increasing_id()))
+    # Equal sets are linked through the smallest row of their class; empty sets stand alone.
+    small = signs.select("id", "doc_id", "n", "digest")
     copied = small.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("_n"))
     classes = cut_lineage(copied.filter("_n > 1").drop("_n"))
-    of_class = cut_lineage(small.join(classes, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    of_class = cut_lineage(small.join(classes, "digest", "left").select("id", "doc_id", "n", "digest", F.coalesce("rep", "id").alias("rep")))
 
     alone = of_class.filter((F.col("id") == F.col("rep")) & (F.col("n") > 0)).select("id").distinct()
     reps = signs.filter("n > 0").join(alone, "id", "left_semi")
@@ -311,8 +313,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # Full sets of the documents that a survivor or a bucket of more than one pair may need.
     more = crowded.filter("held > 2").select("band", "id", "n")
-    needed = first.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(more.select(F.col("id").alias("doc_id"))).distinct()
-    members = cut_lineage(sets(docs.join(needed, "doc_id", "left_semi"), size, signed=False).dropDuplicates(["id"]))
+    needed = first.select(F.explode(F.array("a", "b")).alias("id")).unionByName(more.select("id")).distinct()
+    needed = cut_lineage(small.join(needed, "id", "left_semi"))
+    again = docs.join(needed.select(F.col("doc_id").alias("_needed")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_needed")), "left_semi")
+    members = sets(again, size, signed=False).select("digest", "members").join(needed.select("id", "digest"), "digest")
+    members = cut_lineage(members.dropDuplicates(["id"]).select("id", "members"))
     one_each = first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = cut_lineage(verify(one_each, members, percent))
     rest = _crossing(first.join(one_each, ["a", "b"], "left_anti"), _components(links))
@@ -328,10 +333,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     across = cut_lineage(links_across(open_, signs, members, percent))
     if not across.isEmpty():
         labels = _components(links.unionByName(across))
+    # Rows with one id and different sets are linked too.
+    filled = of_class.filter("n > 0")
+    of_id = filled.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_last")).filter("a != _last")
+    through = cut_lineage(filled.join(of_id.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).filter("a != b").distinct())
+    if not through.isEmpty():
+        at = labels.select(F.col("id").alias("a"), F.col("cluster").alias("_a"))
+        to = labels.select(F.col("id").alias("b"), F.col("cluster").alias("_b"))
+        joined = through.join(at, "a", "left").join(to, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        merged = _components(joined.filter("a != b")).withColumnsRenamed({"id": "_old", "cluster": "_new"})
+        labels = filled.select(F.col("rep").alias("id")).distinct().join(labels, "id", "left").withColumn("_old", F.coalesce("cluster", "id"))
+        labels = labels.join(merged, "_old", "left").select("id", F.coalesce("_new", "_old").alias("cluster"))
+    # The name of a component is its smallest document id: of its classes first, then of all.
     labels = labels.select(F.col("id").alias("rep"), "cluster")
-    return of_class.join(labels, "rep", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("cluster", "rep").alias("component_id"),
-        F.col("id").eqNullSafe(F.coalesce("cluster", "rep")).alias("kept"),
+    of_rep = of_class.groupBy("rep").agg(F.min("doc_id").alias("_least")).join(labels, "rep", "left")
+    of_rep = cut_lineage(of_rep.withColumn("cluster", F.coalesce("cluster", "rep")))
+    names = of_rep.groupBy("cluster").agg(F.min("_least").alias("component_id"))
+    named = cut_lineage(of_rep.join(names, "cluster").select("rep", "component_id"))
+    return of_class.join(named, "rep").select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
