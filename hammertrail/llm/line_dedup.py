@@ -8,8 +8,8 @@ flat arrays, and the hashes of the documents travel to their shard and probe the
 in ``HEAVY`` of all (document, key) rows, at most ``HEAVY`` by counting, form one more small index that every
 task probes in place, so that no frequent line gathers its documents in one shard.
 
-Defined cases: a null text is an empty text; each row counts as a document; rows with the same id keep or lose
-a line together; a null id is smaller than any other, and lines found only in rows without an id stay; further
+Defined cases: a null text is an empty text; rows with one id are one document, and keep or lose a line together;
+all rows without an id count as one document more; a null id is smaller than any other, and lines found only in rows without an id stay; further
 columns pass through, except that ``n_lines`` and ``n_dropped`` are replaced; no rows give no rows.
 """
 
@@ -103,7 +103,9 @@ def document_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 def frequent_keys(keys: DataFrame, min_docs: int) -> DataFrame:
     """(h1, h2, n, last_id) of keys in at least ``min_docs`` documents."""
     return (
-        keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_id"))
+        # Two steps: the documents of a key first, so that a key in most of them is counted in many tasks.
+        keys.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2")
+        .agg(F.count("*").alias("n"), F.max("doc_id").alias("last_id"))
         .filter((F.col("n") >= min_docs) & F.col("last_id").isNotNull())
     )
 
