@@ -10,15 +10,16 @@ lowest pivot that it shares, and candidates are verified by cosine in double pre
 A list of more than ``BLOCK`` vectors is cut into blocks, and every pair of blocks is a group of its own, so no list is
 gathered in one task. A group gives, per vector, a number of links and one spanning edge, never its pairs.
 
-Defined cases: equal vectors of a label are compared once and counted as often as they occur; vectors that are null,
-empty, zero or hold null or non-finite components, and rows without label or id, link with nothing; rows with one id
-are one vector; vectors of another length than the most frequent of the sample link only with equal vectors; further
-columns are ignored; no rows give no rows.
+Every length of vectors has pivots of its own. A length that the sample misses has one list, compared in full by blocks.
+
+Defined cases: equal vectors of a label are compared once and count for each id that holds them; vectors that are null,
+empty, zero or hold null or non-finite components, and rows without label or id, link with nothing; rows with equal id,
+label and vector are one vector, and different vectors under one id stand for themselves; vectors of different lengths
+do not link; of equally near pivots the first counts as nearer; further columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from math import isqrt
 
@@ -46,19 +47,27 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def choose_pivots(sample: list[list[float]], wanted: int) -> np.ndarray:
-    """Up to ``wanted`` sampled vectors of the most frequent length that are not close to each other."""
-    if not sample:
-        return np.zeros((0, 0))
-    length = Counter(map(len, sample)).most_common(1)[0][0]
-    rows = units(np.array([x for x in sample if len(x) == length]))
-    chosen: list[int] = []
-    for k in range(len(rows)):
-        if len(chosen) == wanted:
-            break
-        if not chosen or (rows[chosen] @ rows[k]).max() < SPREAD:
-            chosen.append(k)
-    return rows[chosen]
+def choose_pivots(sample: list[list[float]], wanted: int) -> dict[int, np.ndarray]:
+    """For each length up to ``wanted`` sampled vectors that are not close to each other."""
+    pivots = {}
+    for length in {len(x) for x in sample}:
+        rows = units(np.array([x for x in sample if len(x) == length]))
+        chosen: list[int] = []
+        for k in range(len(rows)):
+            if len(chosen) == wanted:
+                break
+            if not chosen or (rows[chosen] @ rows[k]).max() < SPREAD:
+                chosen.append(k)
+        pivots[length] = rows[chosen]
+    return pivots
+
+
+def nearest_pivots(unit: np.ndarray, pivots: np.ndarray | None) -> tuple[np.ndarray, int]:
+    """The nearest pivots of each row in order, and how many of them linked rows share; without pivots one for all."""
+    if pivots is None:
+        return np.zeros((len(unit), 1), np.int64), 1
+    near = min(NEAREST, len(pivots))
+    return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :near], min(SHARED, near)
 
 
 def _local_roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -81,45 +90,45 @@ def links_and_components(vectors: DataFrame, threshold: float = 0.93) -> DataFra
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding")
     single = dict(vectors.dtypes)["embedding"] == "array<float>"
     kind = np.float32 if single else np.float64
-    classes = cut_lineage(rows.filter(valid).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    distinct = rows.filter(valid).distinct().groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    # Classes are told apart by number, since an id may stand before several vectors.
+    classes = cut_lineage(distinct.withColumn("rep", F.monotonically_increasing_id()))
     wanted = max(LEAST_PIVOTS, min(MOST_PIVOTS, isqrt(classes.count())))
-    sample = classes.orderBy(F.xxhash64("embedding"), "rep").limit(SAMPLE).select("embedding").collect()
+    sample = classes.orderBy(F.xxhash64("embedding"), "least", "label").limit(SAMPLE).select("embedding").collect()
     pivots = choose_pivots([r.embedding for r in sample], wanted)
-    near_count = min(NEAREST, len(pivots))
-    shared = min(SHARED, near_count)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch["embedding"].value_lengths().to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(lengths == pivots.shape[1]))
-            if not batch.num_rows or not near_count:
-                continue
-            flat = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, -1)
-            near = np.argsort(-(units(flat) @ pivots.T), axis=1, kind="stable")[:, :near_count]
-            lists = np.sort(near, axis=1)[:, : near_count - shared + 1]
-            each = lists.shape[1]
-            take = pa.array(np.repeat(np.arange(batch.num_rows), each))
-            wide = pa.RecordBatch.from_arrays(
-                [batch["label"], batch["rep"], batch["n"], pa.array([x.astype(np.uint16).tobytes() for x in near]), pa.array([x.tobytes() for x in flat])],
-                ["label", "rep", "n", "near", "vector"],
-            ).take(take)
-            yield wide.append_column("pivot", pa.array(lists.ravel().astype(np.int32)))
-
-    listed = classes.mapInArrow(describe, "label string, rep long, n long, near binary, vector binary, pivot int")
-    sizes = listed.groupBy("label", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    listed = listed.join(sizes, ["label", "pivot"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+            for length in np.unique(lengths):
+                part = batch.filter(pa.array(lengths == length))
+                flat = part["embedding"].flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(part.num_rows, -1)
+                near, shared = nearest_pivots(units(flat), pivots.get(int(length)))
+                lists = np.sort(near, axis=1)[:, : near.shape[1] - shared + 1]
+                take = pa.array(np.repeat(np.arange(part.num_rows), lists.shape[1]))
+                wide = pa.RecordBatch.from_arrays(
+                    [part["label"], part["rep"], part["n"], pa.array([x.astype(np.uint16).tobytes() for x in near]), pa.array([x.tobytes() for x in flat])],
+                    ["label", "rep", "n", "near", "vector"],
+                ).take(take)
+                wide = wide.append_column("pivot", pa.array(lists.ravel().astype(np.int32)))
+                yield wide.append_column("length", pa.array(np.full(wide.num_rows, length, np.int32)))
+
+    listed = classes.mapInArrow(describe, "label string, rep long, n long, near binary, vector binary, pivot int, length int")
+    lists = ["label", "length", "pivot"]
+    sizes = listed.groupBy(*lists).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    listed = listed.join(sizes, lists).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = listed.withColumn("_other", other).select(
-        "label", "pivot", F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("second"),
+        *lists, F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("second"),
         "block", "rep", "n", "near", "vector",
     )
-    count = len(pivots)
 
     def compare(group: pa.Table) -> pa.Table:
         pivot, first, second = (group[c][0].as_py() for c in ("pivot", "first", "second"))
         reps, n, block = (group[c].to_numpy() for c in ("rep", "n", "block"))
         near = np.frombuffer(b"".join(group["near"].to_pylist()), np.uint16).reshape(len(reps), -1)
-        seen = np.zeros((len(reps), count), np.float32)
+        shared = min(SHARED, near.shape[1])
+        seen = np.zeros((len(reps), int(near.max()) + 1), np.float32)
         seen[np.arange(len(reps))[:, None], near] = 1
         unit = units(np.frombuffer(b"".join(group["vector"].to_pylist()), kind).reshape(len(reps), -1))
         left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
@@ -136,13 +145,16 @@ def links_and_components(vectors: DataFrame, threshold: float = 0.93) -> DataFra
         out = pa.table({"rep": pa.array(reps), "links": pa.array(links.astype(np.int64)), "root": pa.array(root)})
         return out.filter(pa.array(links > 0))
 
-    found = cut_lineage(paired.groupBy("label", "pivot", "first", "second").applyInArrow(compare, "rep long, links long, root long"))
+    found = cut_lineage(paired.groupBy(*lists, "first", "second").applyInArrow(compare, "rep long, links long, root long"))
     components = connected_components(found.filter("root != rep").select(F.col("root").alias("src"), F.col("rep").alias("dst")))
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    joined = classes.join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+    joined = cut_lineage(joined.join(counted, "rep", "left"))
+    names = joined.groupBy("cluster").agg(F.min("least").alias("component_id"))
     of_class = (
-        classes.join(counted, "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
+        joined.join(names, "cluster")
         .select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"),
-                (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("cluster", "rep").alias("component_id"))
+                (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     )
     joined = rows.withColumn("_valid", F.coalesce(valid, F.lit(False))).join(
         of_class, F.col("_valid") & (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding")), "left"
