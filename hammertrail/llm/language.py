@@ -13,11 +13,11 @@ columns are ignored; no rows give no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ STEPS, BATCH, RATE = 160, 256, 0.03
 #: Windows that run through the network together.
 TOGETHER = 4096
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def windows(raw: bytes) -> np.ndarray:
