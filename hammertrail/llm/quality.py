@@ -1,15 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
-Base rules reject short and repetitive texts. Beyond them each signal below gets one cutoff per stratum (the language
-of a document; languages with a small share of the labelled documents, and null, share one stratum, which is calibrated
-on their rows alone). On the labelled documents (``quality`` 1 is good) that pass the base rules, a cutoff is admissible when the exact (Clopper-Pearson) upper
-bound of its false rejection rate is at most ``RISK`` divided by the number of signals; the error of the bounds,
-``ERROR``, is divided by the number of all bounds computed (Bonferroni), so with probability 1 - ``ERROR`` every
-stratum loses at most ``RISK`` of its good documents. Of the admissible cutoffs the one with the best margin of bad
+Base rules reject short and repetitive texts. Beyond them each signal below gets one cutoff per stratum, which is a
+language with labels, or null. On the labelled documents (``quality`` 1 is good) that pass the base rules, a cutoff is
+admissible when the exact (Clopper-Pearson) upper bound of its false rejection rate is at most ``RISK`` divided by the
+number of signals; the error of the bounds, ``ERROR``, is divided by the number of all bounds computed (Bonferroni), so
+with probability 1 - ``ERROR`` every stratum loses at most ``RISK`` of its good documents. A stratum with few labels has
+no admissible cutoff, and a language without labels no stratum: there the base rules decide alone. Of the admissible cutoffs the one with the best margin of bad
 over good rejections is used, the most lenient on ties, and none when it gains nothing.
 
-The labelled histograms cover all labelled rows; only they, at most ``MAX_STRATA`` strata x signals x buckets, reach
-the driver.
+The labelled histograms cover all labelled rows; only they, languages x signals x buckets, reach the driver.
 
 Defined cases: a null text has no words and fails the base rules; rows without label, or with a null label, do not
 count; several labels of one id count each; without enough labels no cutoff is admissible and the base rules decide
@@ -34,9 +33,6 @@ WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 RISK, ERROR = 0.05, 0.05
 BUCKETS = 100
-#: A language is a stratum of its own from this share of the labelled documents on, so there are at most 50.
-STRATUM_SHARE, MAX_STRATA = 0.02, 51
-POOLED = ""
 #: Good rejections weigh this many bad ones.
 GOOD_WEIGHT = 20.0
 
@@ -116,7 +112,7 @@ def admissible(n: int, k: int, risk: float, error: float) -> bool:
 def choose_cutoffs(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
     """Cutoffs, as buckets, from histograms (strata, signals, buckets); a text above its cutoff is rejected."""
     strata, kinds, buckets = good.shape
-    error = ERROR / (strata * kinds * buckets)
+    error = ERROR / max(1, strata * kinds * buckets)
     cut = np.full((strata, kinds), buckets)
     for s in range(strata):
         for k in range(kinds):
@@ -138,33 +134,34 @@ def bucket(share: Column) -> Column:
     return F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
 
 
+def stratum() -> Column:
+    """The language behind a mark that tells it from null."""
+    return F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
+
+
 def learned_cutoffs(counted: DataFrame, labels: DataFrame) -> dict[str, list[int]]:
-    """Cutoffs per stratum, in the order of ``signals()``; ``POOLED`` is the stratum of the languages without their own."""
+    """Cutoffs per stratum with labels, in the order of ``signals()``."""
     names = list(signals())
     marked = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_doc"), (F.col("quality") == 1).alias("good"))
     rows = counted.join(marked, F.col("doc_id") == F.col("_doc")).filter(~base_failed())
-    cells = cut_lineage(
-        rows.select(
-            F.coalesce("lang", F.lit(POOLED)).alias("lang"), "good",
-            F.posexplode(F.array(*(bucket(x) for x in signals().values()))).alias("signal", "bucket"),
-        ).groupBy("lang", "good", "signal", "bucket").agg(F.count("*").alias("n"))
-    )
-    per_lang = cells.filter("signal = 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    total = per_lang.agg(F.sum("n")).first()[0] or 0
-    own = [r.lang for r in per_lang.filter(F.col("n") >= F.lit(STRATUM_SHARE * total)).orderBy("lang").limit(MAX_STRATA - 1).collect() if r.lang != POOLED]
-    stratum = F.when(F.col("lang").isin(own), F.col("lang")).otherwise(POOLED) if own else F.lit(POOLED)
-    strata = [POOLED, *own]
+    cells = rows.select(
+        stratum().alias("stratum"), "good",
+        F.posexplode(F.array(*(bucket(x) for x in signals().values()))).alias("signal", "bucket"),
+    ).groupBy("stratum", "good", "signal", "bucket").agg(F.count("*").alias("n")).collect()
+    strata = sorted({r.stratum for r in cells})
     tables = np.zeros((2, len(strata), len(names), BUCKETS), np.int64)
-    for r in cells.withColumn("lang", stratum).groupBy("lang", "good", "signal", "bucket").agg(F.sum("n").alias("n")).collect():
-        tables[int(r.good), strata.index(r.lang), r.signal, r.bucket] += r.n
+    for r in cells:
+        tables[int(r.good), strata.index(r.stratum), r.signal, r.bucket] += r.n
     cut = choose_cutoffs(tables[1], tables[0])
-    return {lang: cut[s].tolist() for s, lang in enumerate(strata)}
+    return {name: cut[s].tolist() for s, name in enumerate(strata)}
 
 
 def verdict(cutoffs: dict[str, list[int]]) -> Column:
-    """The base rules pass and no signal lies above the cutoff of the row's stratum."""
-    table = F.create_map(*(x for lang, cut in cutoffs.items() for x in (F.lit(lang), F.array(*map(F.lit, cut)))))
-    mine = F.coalesce(F.try_element_at(table, F.coalesce("lang", F.lit(POOLED))), F.try_element_at(table, F.lit(POOLED)))
+    """The base rules pass and no signal lies above the cutoff of the row's stratum, if it has one."""
+    if not cutoffs:
+        return ~base_failed()
+    table = F.create_map(*(x for name, cut in cutoffs.items() for x in (F.lit(name), F.array(*map(F.lit, cut)))))
+    mine = F.coalesce(F.try_element_at(table, stratum()), F.array(*[F.lit(BUCKETS)] * len(signals())))
     over = [bucket(x) > mine[k] for k, x in enumerate(signals().values())]
     passes = ~base_failed()
     for x in over:
