@@ -7,6 +7,10 @@ equi joins that together cover every pair the score can accept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -385,18 +389,48 @@ def duplicate_edges(entities: DataFrame) -> DataFrame:
     )
 
 
+#: Edges that one task may solve.
+LOCAL_EDGES = 1 << 17
+
+
+def _solved(graph: DataFrame) -> DataFrame:
+    """(id, root) of every node of a graph of at most ``LOCAL_EDGES`` edges, in one task."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = list(batches)
+        if not edges:
+            return
+        ends = [pa.chunked_array([b[c] for b in edges]).to_numpy(zero_copy_only=False) for c in ("src", "dst")]
+        nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+        left, right = np.split(at.ravel(), 2)
+        # Places are in the order of ids, so the smallest place names the smallest id.
+        root = np.arange(len(nodes))
+        while True:
+            low, before = np.minimum(root[left], root[right]), root.copy()
+            np.minimum.at(root, before[left], low)
+            np.minimum.at(root, before[right], low)
+            root = root[root]
+            if (root == before).all():
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, edges[0]["src"].type), pa.array(nodes[root], edges[0]["src"].type)], ["id", "root"])
+
+    kind = dict(graph.dtypes)["src"]
+    return graph.coalesce(1).mapInArrow(solve, f"id {kind}, root {kind}")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, cluster) for every node of ``edges``; cluster is the smallest id.
 
     Each round hooks every node to its smallest neighbour, shortens the
     resulting chains by doubling, and contracts the graph. Chains and rounds
     are logarithmic in the size of a component, and every aggregate combines
-    on the map side, so a hub of many edges is no hot spot.
+    on the map side, so a hub of many edges is no hot spot. Once at most
+    ``LOCAL_EDGES`` edges are left, one task finishes them: that is a bounded
+    piece of work, and saves the many small jobs of the last rounds.
     """
     graph = cut_lineage(edges.select("src", "dst").distinct())
-    labels = graph.select(F.col("src").alias("id")).unionByName(graph.select(F.col("dst").alias("id"))).distinct()
-    labels = labels.withColumn("cluster", F.col("id"))
-    while not graph.isEmpty():
+    labels = None
+    while (left := graph.count()) > LOCAL_EDGES:
         both = graph.unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         parent = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("_p")).select(
             "id", F.least("id", "_p").alias("parent")
@@ -409,7 +443,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             parent = jumped.drop("moved")
             if not moved:
                 break
-        labels = cut_lineage(
+        labels = parent.select("id", F.col("parent").alias("cluster")) if labels is None else cut_lineage(
             labels.join(parent.withColumnRenamed("id", "cluster"), "cluster", "left")
             .select("id", F.coalesce("parent", "cluster").alias("cluster"))
         )
@@ -419,7 +453,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
             graph.join(a, "src").join(b, "dst").filter(F.col("_a") != F.col("_b"))
             .select(F.col("_a").alias("src"), F.col("_b").alias("dst")).distinct()
         )
-    return labels
+    if labels is None:
+        return cut_lineage(_solved(graph).withColumnRenamed("root", "cluster"))
+    if not left:
+        return labels
+    rest = cut_lineage(_solved(graph)).withColumnRenamed("id", "cluster")
+    return cut_lineage(labels.join(rest, "cluster", "left").select("id", F.coalesce("root", "cluster").alias("cluster")))
 
 
 def merge_mapping(entities: DataFrame, clusters: DataFrame) -> DataFrame:

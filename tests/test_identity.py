@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from hammertrail.operators import identity as I
@@ -121,3 +123,18 @@ def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)]
     got = {r["id"]: r["cluster"] for r in I.connected_components(spark.createDataFrame(path, "src long, dst long")).collect()}
     assert got == components(path)
+
+
+@pytest.mark.parametrize("bound", [1 << 17, 40, 0])
+def test_components_in_one_task_and_by_rounds(spark, monkeypatch, bound):
+    monkeypatch.setattr(I, "LOCAL_EDGES", bound)
+    rng = random.Random(bound)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(130)] + [(k, k + 1) for k in range(400, 460)] + [(7, 7)]
+    edges = [(f"n{a:03d}", f"n{b:03d}") for a, b in edges]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    made = I.connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()
+    assert {r["id"]: r["cluster"] for r in made} == root and len(made) == len(root)
+    assert I.connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0
