@@ -283,7 +283,8 @@ def _steps(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows whose ``value`` differs from the one before, numbered from 1."""
     order = [F.col("scraped_at"), F.col("id")]
     chunk = F.to_date("scraped_at")
-    moved = with_previous(rows, keys, chunk, order, F.struct(value), "_prev").filter(
+    # Written once: the search for hot days and the windows both read it.
+    moved = with_previous(cut_lineage(rows), keys, chunk, order, F.struct(value), "_prev").filter(
         F.col("_prev").isNull() | ~F.col(f"_prev.{value}").eqNullSafe(F.col(value))
     )
     return positions(cut_lineage(moved.drop("_prev")), keys, chunk, order, "pos")
@@ -327,7 +328,7 @@ def compress_events(chained: DataFrame, evidence: DataFrame, entity: str = "vehi
     )
     fields = F.struct(*EVENT_FIELDS)
     order = [F.col("scraped_at"), F.col("id")]
-    paired = with_previous(rows, [entity, *PASSAGE], F.to_date("scraped_at"), order, fields, "_prev")
+    paired = with_previous(cut_lineage(rows), [entity, *PASSAGE], F.to_date("scraped_at"), order, fields, "_prev")
     same = F.lit(True)
     for name in EVENT_FIELDS:
         same = same & F.col(name).eqNullSafe(F.col(f"_prev.{name}"))
