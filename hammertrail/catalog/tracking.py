@@ -160,6 +160,11 @@ def store_stats(spark, d):
     )
 
 
+def store_totals(spark, d):
+    """Entities and snapshots of the store."""
+    return L.store_totals(entities(spark, d), snapshots(spark, d))
+
+
 def watchlist_view(spark, d):
     watch = load_view(spark, d, "fx_watchlist")
     rows = L.watchlist_view(watch, entities(spark, d), snapshots(spark, d), ["status", "starting_price"])
@@ -273,7 +278,7 @@ QUERIES = {
         badges, list_badges, passage_key_count, capture_timeline, retention, capture_plan, plan_counts,
         snapshot_diff, change_kind, change_search, run_counters, last_errors, batch_delta, disappeared,
         batch_summary, alerts, list_dedup, import_targets, api_rows, lookup, with_previous_price, with_latest,
-        store_stats, watchlist_view, watchlist_apply, watchlist_alerts, visits, repair_rules,
+        store_stats, store_totals, watchlist_view, watchlist_apply, watchlist_alerts, visits, repair_rules,
         rule_overlaps, placeholder_scrub, polluted, polluted_split, polluted_moves, resolved_price,
         patch_history, current_passage, headline,
     ]

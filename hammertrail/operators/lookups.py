@@ -183,3 +183,14 @@ def watchlist_apply(watch: DataFrame, commands: DataFrame) -> tuple[DataFrame, D
         gone, "vehicle_id", "left_anti"
     )
     return kept.unionByName(fresh), conflicts
+
+
+def store_totals(entities: DataFrame, snap: DataFrame) -> DataFrame:
+    """One row: all entities, all snapshots, and the cities they were seen in."""
+    counted = entities.select(F.lit("entity").alias("kind"), F.lit(None).cast("string").alias("city"))
+    counted = counted.unionByName(snap.select(F.lit("snapshot").alias("kind"), "city")).groupBy("kind", "city").agg(F.count("*").alias("n"))
+    return counted.agg(
+        F.coalesce(F.sum(F.when(F.col("kind") == "entity", F.col("n"))), F.lit(0)).alias("total_vehicles"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "snapshot", F.col("n"))), F.lit(0)).alias("total_snapshots"),
+        F.count_if(F.col("city").isNotNull()).alias("cities"),
+    )

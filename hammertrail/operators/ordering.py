@@ -82,6 +82,21 @@ def positions(
     return running_total(df, keys, chunk, order, F.lit(1).cast("bigint"), name)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with its place in a total order as ``name``, from 0.
+
+    One range shuffle sorts; a place is that within its partition plus the
+    rows of the partitions before, which is one row each.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    # monotonically_increasing_id() is the partition in the upper bits and the place in it in the lower 33.
+    ranged = cut_lineage(ranged.withColumn("_part", F.shiftright("_row", 33)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    parts = parts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return ranged.join(parts, "_part").select(*df.columns, (F.col("_row") - F.col("_first") + F.col("_before")).alias(name))
+
+
 def with_previous(
     df: DataFrame, keys: list[str], chunk: Column, order: list[Column], value: Column, name: str
 ) -> DataFrame:

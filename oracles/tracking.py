@@ -248,6 +248,9 @@ SELECT b.vehicle_id, b.hash_id, prev_id, pv.starting_price AS prev_starting_pric
 SELECT e.id AS vehicle_id, e.brand, l.id AS last_id, l.status AS last_status, l.city AS last_city, l.mileage AS last_mileage FROM fx_entities e LEFT JOIN (
   SELECT * FROM fx_snapshots QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY scraped_at DESC, id DESC) = 1) l ON l.vehicle_id = e.id"""),
     "store_stats": with_ctes([SNAP], "SELECT city, count(*) AS n_snapshots, count(DISTINCT vehicle_id) AS n_vehicles FROM fx_snapshots GROUP BY 1"),
+    "store_totals": with_ctes([SNAP, ENT], """
+SELECT (SELECT count(*) FROM fx_entities) AS total_vehicles, (SELECT count(*) FROM fx_snapshots) AS total_snapshots,
+  (SELECT count(DISTINCT city) FROM fx_snapshots) AS cities"""),
     "watchlist_view": with_ctes([SNAP, ENT, view("fx_watchlist")], """
 SELECT w.vehicle_id, w.notes, w.alert_on_price, l.id AS last_id, l.status AS last_status, l.starting_price AS last_starting_price
 FROM fx_watchlist w JOIN fx_entities e ON e.id = w.vehicle_id LEFT JOIN (
