@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from hammertrail.functions import prices as P
 from hammertrail.functions.text import blank_to_null, ci_contains, ci_equal, first_word, trim_level
+from hammertrail.operators.containment import holding
 from hammertrail.operators.ordering import top_n
 from hammertrail.session import cut_lineage
 
@@ -141,10 +142,13 @@ def model_pairs(items: DataFrame) -> DataFrame:
 
     Works on the vocabulary of names, not on items.
     """
-    names = items.select(F.lower("brand").alias("_brand"), F.lower("model").alias("_name")).distinct()
-    a = names.withColumnRenamed("_name", "_qmodel")
-    b = names.withColumnRenamed("_name", "_cmodel")
-    return a.join(b, "_brand").filter(ci_contains(F.col("_qmodel"), F.col("_cmodel")))
+    names = items.select(F.lower("brand").alias("_brand"), F.lower("model").alias("_short")).distinct()
+    held = cut_lineage(holding(names, names.withColumnRenamed("_short", "_long"), ["_brand"], "_short", "_long"))
+    # Either side may be the longer name.
+    turned = held.filter(F.col("_short") != F.col("_long"))
+    return held.select("_brand", F.col("_short").alias("_qmodel"), F.col("_long").alias("_cmodel")).unionByName(
+        turned.select("_brand", F.col("_long").alias("_qmodel"), F.col("_short").alias("_cmodel"))
+    )
 
 
 def _scored(queries: DataFrame, candidates: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -314,9 +318,7 @@ def same_model(items: DataFrame, k: int = 50) -> DataFrame:
     """
     rows = items.withColumns({"_brand": F.upper("brand"), "_model": F.upper("model")})
     names = rows.select("_brand", "_model").distinct()
-    holds = names.withColumnRenamed("_model", "_key").join(names, "_brand").filter(
-        F.contains("_model", "_key")
-    )
+    holds = holding(names.withColumnRenamed("_model", "_key"), names, ["_brand"], "_key", "_model")
     stored = items.withColumns({"_brand": F.col("brand"), "_model": F.upper("model")})
     first = top_n(stored, ["_brand", "_model"], [F.col("id")], k + 1, "_rn")
     per_key = top_n(first.join(holds, ["_brand", "_model"]), ["_brand", "_key"], [F.col("id")], k + 1, "_rn")
@@ -369,9 +371,7 @@ def sold_candidates(sold: DataFrame, keys: DataFrame, n: int = 50) -> DataFrame:
     own = top_n(rows, ["brand", "_model", "hash_id"], newest, n, "_rn")
     some = top_n(own, ["brand", "_model"], newest, 3 * n, "_rn")
     names = rows.select("brand", "_model").distinct()
-    holds = keys.select(F.col("_brand").alias("brand"), "_word").join(names, "brand").filter(
-        F.contains("_model", "_word")
-    )
+    holds = holding(keys.select(F.col("_brand").alias("brand"), "_word"), names, ["brand"], "_word", "_model")
     joined = some.join(holds, ["brand", "_model"])
     limited = top_n(joined, ["brand", "_word", "hash_id"], newest, n, "_rn")
     last = top_n(limited, ["brand", "_word"], newest, 3 * n, "_rn")
@@ -444,7 +444,9 @@ def peers_in_auction(lots: DataFrame, k: int = 10) -> DataFrame:
     Lots whose model holds the first word of the own model come first, then
     the cheaper one. Candidates are ranked once per (auction, brand, word);
     the own listing is left out afterwards, which is why every hash is limited
-    to ``k`` and the list to twice that.
+    to ``k`` and the list to twice that. Fewer than ``2 * k`` lots can match where
+    others are needed at all, so the ``4 * k`` cheapest of the auction and brand
+    hold every other lot that can appear.
     """
     rows = lots.withColumns(
         {"_brand": F.upper("brand"), "_model": F.upper("model"), "_word": first_word(F.col("model")),
@@ -453,9 +455,13 @@ def peers_in_auction(lots: DataFrame, k: int = 10) -> DataFrame:
     key = ["auction_id", "_brand"]
     cheap = [F.col("_price"), F.col("id")]
     own = top_n(rows, [*key, "_model", "hash_id"], cheap, k, "_rn")
-    some = top_n(own, [*key, "_model"], cheap, 2 * k, "_rn").drop("_word")
+    some = top_n(own, [*key, "_model"], cheap, 2 * k, "_rn").drop("_word", "_rn")
     words = rows.select(*key, "_word").distinct()
-    ranked = some.join(words, key).withColumn("_match", F.contains("_model", "_word"))
+    fitting = some.join(holding(words, rows, key, "_word", "_model"), [*key, "_model"])
+    cheapest = top_n(top_n(some, [*key, "hash_id"], cheap, k, "_rn"), key, cheap, 4 * k, "_rn").drop("_rn")
+    match = F.contains("_model", "_word")
+    others = cheapest.join(words, key).filter(F.coalesce(~match, F.lit(True)))
+    ranked = fitting.withColumn("_match", F.lit(True)).unionByName(others.withColumn("_match", match))
     order = [F.col("_match").desc(), *cheap]
     limited = top_n(ranked, [*key, "_word", "hash_id"], order, k, "_rn")
     best = top_n(limited, [*key, "_word"], order, 2 * k, "_rn")
