@@ -45,17 +45,50 @@ def test_csv_and_reports(spark, tmp_path):
     assert tuple(R.read_reports(spark, str(tmp_path / "r")).first()) == ("abc", "un\ndeux")
 
 
-def test_versions_upsert_and_repair(spark, tmp_path):
-    table = str(tmp_path / "snapshots")
-    first = spark.createDataFrame([(1, 100), (2, 900)], "id long, starting_price long")
-    W.upsert_snapshots(spark, table, first)
-    W.upsert_snapshots(spark, table, spark.createDataFrame([(2, 950), (3, 100)], "id long, starting_price long"))
-    assert sorted(map(tuple, W.read_table(spark, table).collect())) == [(1, 100), (2, 950), (3, 100)]
-    fix = spark.createDataFrame([(3,)], "id long")
-    W.apply_price_repair(spark, table, fix)
-    assert W.read_table(spark, table).filter("starting_price is null").count() == 0
-    W.apply_price_repair(spark, table, fix, dry_run=False)
-    assert [r["id"] for r in W.read_table(spark, table).filter("starting_price is null").collect()] == [3]
+def _days(table):
+    """Names of the data files by day folder."""
+    return {d.name: {f.name for f in d.glob("*.parquet")} for d in table.glob("day=*")}
+
+
+def test_upserts_and_repairs_touch_their_days_only(spark, tmp_path):
+    table = tmp_path / "snapshots"
+
+    def rows(*found):
+        frame = spark.createDataFrame(list(found), "id long, at string, starting_price long")
+        return frame.select("id", F.col("at").cast("timestamp").alias("scraped_at"), "starting_price")
+
+    def stored():
+        return sorted((r["id"], str(r["scraped_at"])[:10], r["starting_price"]) for r in W.read_table(spark, str(table)).collect())
+
+    assert W.read_table(spark, str(table)) is None
+    W.upsert_snapshots(spark, str(table), rows((1, "2024-01-01", 100), (2, "2024-01-02", 900), (4, "2024-01-04", 7)))
+    before = _days(table)
+    # One price changes in place, one row is new, one moves off a day that it leaves empty.
+    W.upsert_snapshots(spark, str(table), rows((2, "2024-01-02", 950), (3, "2024-01-02", 100), (4, "2024-01-03", 8)))
+    want = [(1, "2024-01-01", 100), (2, "2024-01-02", 950), (3, "2024-01-02", 100), (4, "2024-01-03", 8)]
+    assert stored() == want
+    after = _days(table)
+    assert after["day=2024-01-01"] == before["day=2024-01-01"] and after["day=2024-01-02"] != before["day=2024-01-02"]
+    W.append_list_snapshots(str(table), rows((5, "2024-01-01", 50), (6, None, 60)))
+    want = sorted([*want, (5, "2024-01-01", 50), (6, "None", 60)])
+    assert stored() == want and after["day=2024-01-01"] < _days(table)["day=2024-01-01"]
+    fix = spark.createDataFrame([(3,), (6,)], "id long")
+    W.apply_price_repair(spark, str(table), fix)
+    assert stored() == want
+    W.apply_price_repair(spark, str(table), fix, dry_run=False)
+    assert stored() == [(i, d, None if i in (3, 6) else p) for i, d, p in want]
+    (backup,) = tmp_path.glob("snapshots-before-*")
+    assert sorted((r["id"], r["starting_price"]) for r in spark.read.parquet(str(backup)).collect()) == [(3, 100), (6, 60)]
+
+
+def test_documents_are_written_as_json(spark, tmp_path):
+    from hammertrail.catalog.history import entities, snapshots
+    from hammertrail.plans.history import history_documents
+
+    W.write_documents(history_documents(entities(spark, SF), snapshots(spark, SF)), str(tmp_path / "docs"))
+    back = spark.read.json(str(tmp_path / "docs"))
+    assert back.count() == entities(spark, SF).count()
+    assert back.selectExpr("size(passages) + size(truncated_passages) AS n").filter("n < 1").count() == 0
 
 
 def test_detail_window_is_extended_by_changes_only(snaps):
