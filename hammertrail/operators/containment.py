@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hammertrail.session import cut_lineage
+
 #: Longest run of characters that is indexed.
 RUN = 3
 
@@ -30,15 +32,27 @@ def _sought(text: Column) -> Column:
     return F.when(F.length(text) < RUN, F.array(text)).otherwise(F.array_distinct(_runs(text, RUN)))
 
 
+#: Up to so many texts of equal keys are compared with every needle of the keys.
+FEW_TEXTS = 64
+
+
 def holding(sought: DataFrame, texts: DataFrame, keys: list[str], needle: str, text: str) -> DataFrame:
     """Distinct (``keys``, ``needle``, ``text``) where the text holds the needle.
 
     Exact: a run that no text of the keys holds rules its needle out, and every remaining pair is compared. NULL keys,
     needles and texts match nothing; an empty needle is held by every text. The cost is the number of runs plus, for
     each needle, the number of texts under its rarest run, which adaptive execution splits where a run is frequent.
+    Keys of at most ``FEW_TEXTS`` texts need no index: comparing all of them costs a bounded number for each needle.
     """
-    needles = sought.select(*keys, needle).dropna().distinct()
-    held = texts.select(*keys, text).dropna().distinct()
+    needles = cut_lineage(sought.select(*keys, needle).dropna().distinct())
+    held = cut_lineage(texts.select(*keys, text).dropna().distinct())
+    many = held.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > FEW_TEXTS).select(*keys)
+    direct = needles.join(held.join(many, keys, "left_anti"), keys).filter(F.contains(text, needle))
+    indexed = _looked_up(needles.join(many, keys, "left_semi"), held.join(many, keys, "left_semi"), keys, needle, text)
+    return direct.select(*keys, needle, text).unionByName(indexed)
+
+
+def _looked_up(needles: DataFrame, held: DataFrame, keys: list[str], needle: str, text: str) -> DataFrame:
     wanted = needles.select(*keys, needle, F.explode(_sought(F.col(needle))).alias("_run"))
     # Only runs that some needle asks for are counted and posted.
     asked = wanted.select(*keys, "_run").distinct()

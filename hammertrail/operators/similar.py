@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hammertrail.functions import prices as P
 from hammertrail.functions.text import blank_to_null, ci_contains, ci_equal, first_word, trim_level
-from hammertrail.operators.containment import holding
+from hammertrail.operators.containment import FEW_TEXTS, holding
 from hammertrail.operators.ordering import top_n
 from hammertrail.session import cut_lineage
 
@@ -143,7 +143,7 @@ def model_pairs(items: DataFrame) -> DataFrame:
     Works on the vocabulary of names, not on items.
     """
     names = items.select(F.lower("brand").alias("_brand"), F.lower("model").alias("_short")).distinct()
-    held = cut_lineage(holding(names, names.withColumnRenamed("_short", "_long"), ["_brand"], "_short", "_long"))
+    held = holding(names, names.withColumnRenamed("_short", "_long"), ["_brand"], "_short", "_long")
     # Either side may be the longer name.
     turned = held.filter(F.col("_short") != F.col("_long"))
     return held.select("_brand", F.col("_short").alias("_qmodel"), F.col("_long").alias("_cmodel")).unionByName(
@@ -457,11 +457,21 @@ def peers_in_auction(lots: DataFrame, k: int = 10) -> DataFrame:
     own = top_n(rows, [*key, "_model", "hash_id"], cheap, k, "_rn")
     some = top_n(own, [*key, "_model"], cheap, 2 * k, "_rn").drop("_word", "_rn")
     words = rows.select(*key, "_word").distinct()
-    fitting = some.join(holding(words, rows, key, "_word", "_model"), [*key, "_model"])
-    cheapest = top_n(top_n(some, [*key, "hash_id"], cheap, k, "_rn"), key, cheap, 4 * k, "_rn").drop("_rn")
     match = F.contains("_model", "_word")
-    others = cheapest.join(words, key).filter(F.coalesce(~match, F.lit(True)))
-    ranked = fitting.withColumn("_match", F.lit(True)).unionByName(others.withColumn("_match", match))
+    # Few lots are compared with every word; among many, the fitting ones come from the index of names.
+    many = rows.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > FEW_TEXTS).select(*key)
+    many = cut_lineage(many)
+    if many.isEmpty():
+        ranked = some.join(words, key).withColumn("_match", match)
+    else:
+        some = cut_lineage(some)
+        few = some.join(many, key, "left_anti").join(words, key).withColumn("_match", match)
+        large = some.join(many, key, "left_semi")
+        asked = words.join(many, key, "left_semi")
+        fitting = large.join(holding(asked, large, key, "_word", "_model"), [*key, "_model"]).withColumn("_match", F.lit(True))
+        cheapest = top_n(top_n(large, [*key, "hash_id"], cheap, k, "_rn"), key, cheap, 4 * k, "_rn").drop("_rn")
+        others = cheapest.join(asked, key).withColumn("_match", match).filter(~F.coalesce("_match", F.lit(False)))
+        ranked = few.unionByName(fitting).unionByName(others)
     order = [F.col("_match").desc(), *cheap]
     limited = top_n(ranked, [*key, "_word", "hash_id"], order, k, "_rn")
     best = top_n(limited, [*key, "_word"], order, 2 * k, "_rn")

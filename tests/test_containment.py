@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hammertrail.operators.containment import holding
+from hammertrail.operators import containment, similar
 from hammertrail.operators.similar import model_pairs, peers_in_auction
 
 words = st.one_of(st.none(), st.text("abé ", max_size=7))
@@ -14,15 +15,17 @@ rows = st.lists(st.tuples(st.sampled_from(["k", "l", None]), words), max_size=25
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(sought=rows, texts=rows)
-def test_holding_finds_every_pair(spark, sought, texts):
+@given(sought=rows, texts=rows, few=st.sampled_from([0, 3]))
+def test_holding_finds_every_pair(spark, sought, texts, few):
     a = spark.createDataFrame(sought, "k string, n string")
     b = spark.createDataFrame(texts, "k string, t string")
     want = {
         (k, n, t) for k, n in sought for j, t in texts
         if k is not None and k == j and n is not None and t is not None and n in t
     }
-    got = [tuple(r) for r in holding(a, b, ["k"], "n", "t").collect()]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(containment, "FEW_TEXTS", few)
+        got = [tuple(r) for r in containment.holding(a, b, ["k"], "n", "t").collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -34,8 +37,11 @@ def test_names_of_one_brand_do_not_meet_all_others(spark):
     assert model_pairs(names).count() == 20000
 
 
-def test_peers_beyond_the_fitting_ones(spark):
+@pytest.mark.parametrize("few", [0, 64])
+def test_peers_beyond_the_fitting_ones(spark, monkeypatch, few):
     """Peers by definition: fitting first, then cheap, at most k of one listing."""
+    monkeypatch.setattr(similar, "FEW_TEXTS", few)
+    monkeypatch.setattr(containment, "FEW_TEXTS", few)
     lots = [
         (i, "a", "B", ["Clio RS", "Clio", "Megane", "", "Twingo"][i % 5], f"h{i % 7}" if i % 6 else None, (i * 37) % 50)
         for i in range(60)
