@@ -49,7 +49,13 @@ def usable_reports(spark, d):
     return R.usable_reports(_texts(spark, d)).select("doc_id")
 
 
+def report_pages(spark, d):
+    """Pages of reports whose lines stand on pages of their own."""
+    paged = _texts(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit(f"\n{R.PAGE_BREAK}\n")))
+    return R.report_pages(paged).select("doc_id", F.col("page").cast("bigint").alias("page"), F.md5("text").alias("text_md5"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in [report_label, report_diagnostics, report_snippet, report_rollup, code_frequency, quick_summary, usable_reports]
+    for f in [report_label, report_diagnostics, report_snippet, report_rollup, code_frequency, quick_summary, usable_reports, report_pages]
 }

@@ -209,6 +209,13 @@ def usable_reports(reports: DataFrame, text: str = "text", least: int = MIN_USEF
     return reports.filter(F.length(F.trim(text)) >= least)
 
 
+def report_pages(reports: DataFrame, text: str = "text") -> DataFrame:
+    """One row per page of a report, numbered from 1; an empty page keeps its number, a NULL text has no page."""
+    pages = F.split(text, r"\Q" + PAGE_BREAK + r"\E", -1)
+    rest = [c for c in reports.columns if c != text]
+    return reports.select(*rest, F.posexplode(pages).alias("_at", text)).select(*rest, (F.col("_at") + 1).alias("page"), text)
+
+
 def code_frequency(parsed: DataFrame) -> DataFrame:
     """How often each code occurs, by severity."""
     tagged = F.concat(

@@ -72,4 +72,7 @@ SELECT doc_id, lower(strip_accents(text)) AS t, TRY_CAST(nullif(regexp_extract(l
 SELECT doc_id, CASE WHEN n IS NOT NULL THEN 'CT · ' || n || ' défaut' || CASE WHEN n > 1 THEN 's mineurs' ELSE ' mineur' END WHEN mi THEN 'CT · défauts mineurs' WHEN ok THEN 'CT OK' END AS label,
   CASE WHEN n IS NOT NULL OR mi THEN 'warn' WHEN ok THEN 'ok' END AS tone FROM u"""),
     "usable_reports": with_ctes([view("fx_reports")], "SELECT doc_id FROM fx_reports WHERE length(trim(text)) >= 80"),
+    "report_pages": with_ctes([view("fx_reports"), ("pg", """
+SELECT doc_id, string_split(replace(text, chr(10), chr(10) || '----- PAGE -----' || chr(10)), '----- PAGE -----') AS p FROM fx_reports""")], """
+SELECT doc_id, unnest(range(1, len(p) + 1)) AS page, unnest(list_transform(p, lambda x: md5(x))) AS text_md5 FROM pg"""),
 }

@@ -51,3 +51,11 @@ def test_plural_marks(spark):
     texts = ["Défaillance(s) majeure(s)", "Défaillance (s) majeure (s)", "DEFAILLANCE!S) MAJEURE[S]"]
     frame = spark.createDataFrame([(t,) for t in texts], "t string").select(R.normalize_report(F.col("t")))
     assert {r[0] for r in frame.collect()} == {"defaillances majeures"}
+
+
+def test_pages_of_a_report(spark):
+    from hammertrail.operators.reports import report_pages
+
+    rows = spark.createDataFrame([(1, "a\n----- PAGE -----\n----- PAGE -----b"), (2, ""), (3, None), (4, "no break")], "doc_id int, text string")
+    got = sorted(map(tuple, report_pages(rows).collect()))
+    assert got == [(1, 1, "a\n"), (1, 2, "\n"), (1, 3, "b"), (2, 1, ""), (4, 1, "no break")]
