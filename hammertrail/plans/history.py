@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hammertrail.functions import prices as P
+from hammertrail.functions.text import blank_to_null
 from hammertrail.operators import evolution as E
 from hammertrail.operators import lookups as L
 from hammertrail.operators import passages as S
@@ -166,20 +167,28 @@ def cross_auction(entities: DataFrame, snap: DataFrame) -> DataFrame:
 def snapshot_view(snap: DataFrame) -> DataFrame:
     """For every snapshot: passage k of n within its own identity.
 
-    The identity is the snapshot's entity, reference and hash; snapshots that
-    share all three share one run.
+    The identity is the snapshot's entity, reference and hash. Identities that
+    hold the same snapshots share one run: a reference or hash seen with one
+    entity only adds nothing to that entity's own snapshots.
     """
-    own = ["vehicle_id", "reference", "hash_id"]
-    combo = F.concat_ws(
-        "|", F.col("vehicle_id").cast("string"),
-        F.coalesce("reference", F.lit("")), F.coalesce("hash_id", F.lit("")),
-    )
-    combos = snap.select(*own).distinct().select(
-        combo.alias("id"), F.col("vehicle_id").alias("_vehicle"), "reference", "hash_id"
-    )
-    run = History(L.identity_union(combos, snap), "entity_id")
-    placed = L.locate_passage(run.chained, run.passages, "entity_id")
-    return placed.filter(F.col("entity_id") == combo).select(
+    known = [F.col("vehicle_id"), blank_to_null(F.col("reference")).alias("reference"), blank_to_null(F.col("hash_id")).alias("hash_id")]
+
+    def key(name: str):
+        return F.to_json(F.struct(*known)).alias(name)
+
+    marks = snap.select(*known).distinct()
+    combos = marks.withColumn("_own", key("_own"))
+    for mark in ("reference", "hash_id"):
+        # NULL counts as an entity of its own.
+        seen = marks.groupBy(mark).agg(F.count_distinct(F.struct("vehicle_id")).alias("_n")).filter(F.col(mark).isNotNull() & (F.col("_n") == 1))
+        combos = combos.join(seen, mark, "left").withColumn(
+            mark, F.when(F.col("_n").isNull() | F.col("vehicle_id").isNull(), F.col(mark))
+        ).drop("_n")
+    combos = cut_lineage(combos.withColumn("id", key("id")))
+    runs = combos.select("id", F.col("vehicle_id").alias("_vehicle"), "reference", "hash_id").distinct()
+    run = History(L.identity_union(runs, snap), "entity_id")
+    mine = run.chained.withColumn("_own", key("_own")).join(combos.select("_own", F.col("id").alias("entity_id")), ["_own", "entity_id"])
+    return L.locate_passage(mine, run.passages, "entity_id").select(
         F.col("id").alias("snapshot_id"), "vehicle_id", "passage_no", "total_passages",
         "city", "center", "status", "sale_date", "sale_time",
     )
