@@ -138,3 +138,28 @@ def test_components_in_one_task_and_by_rounds(spark, monkeypatch, bound):
     made = I.connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()
     assert {r["id"]: r["cluster"] for r in made} == root and len(made) == len(root)
     assert I.connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_one_model_of_many_near_cars_costs_a_linear_number_of_edges(spark):
+    rows = [stored_row(id=n, reference=f"r{n}" if n % 3 else None, l_mileage=50000 + 37 * n, hash_id=f"h{n}") for n in range(150)]
+    edges = I.duplicate_edges(frame(spark, rows))
+    # Every pair is strong, and one link for each would be some 11,000.
+    assert edges.count() < 8 * len(rows)
+    got = {r["id"]: r["cluster"] for r in I.connected_components(edges).collect()}
+    assert got == dict.fromkeys(range(150), 0)
+
+
+def test_equal_records_are_resolved_once(spark, monkeypatch):
+    formed, pairs_of = [], I.candidate_pairs
+
+    def counted(*args):
+        pairs = pairs_of(*args)
+        formed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(I, "candidate_pairs", counted)
+    entities = frame(spark, [stored_row(id=n, reference=None, hash_id=f"h{n}") for n in range(5, 25)])
+    record = {"reference": None, "hash_id": None, **BASE, "mileage": 50700, **MARKS}
+    rows = I.resolve(frame(spark, [{"id": n, **record} for n in range(-10, 10)]), entities).collect()
+    assert formed == [1]
+    assert {(r["matched_by"], r["vehicle_id"]) for r in rows} == {("details", 5)} and len(rows) == 20
