@@ -8,7 +8,7 @@ from hammertrail.catalog.history import snapshots
 from hammertrail.operators import ingest as N
 from hammertrail.plans import ingest as I
 from hammertrail.sources import readers as R
-from hammertrail.sources.views import load_table, load_view
+from hammertrail.sources.views import load_table, load_view, spread
 
 
 def greedy_list(spark, d):
@@ -49,7 +49,7 @@ def ingest_resolved(spark, d):
 
 def detail_json(spark, d):
     """Events as detail records, split into good ones and rejects by issue."""
-    rows = load_table(spark, d, "events").withColumn("kind", F.col("event_id") % 5)
+    rows = spread(load_table(spark, d, "events")).withColumn("kind", F.col("event_id") % 5)
     body = F.to_json(
         F.struct(
             F.when(F.col("kind") != 1, F.col("event_type")).alias("brand"), F.lit("X").alias("model"),
@@ -74,7 +74,7 @@ def list_json(spark, d):
             F.col("value").alias("startingPrice"),
         )
     )
-    lines = load_table(spark, d, "events").select(F.concat(F.lit('{"vehicles":['), item, F.lit("]}")).alias("value"))
+    lines = spread(load_table(spark, d, "events")).select(F.concat(F.lit('{"vehicles":['), item, F.lit("]}")).alias("value"))
     items = R.validate_items(lines)
     return items.groupBy("valid").agg(F.count("*").alias("n"), F.sum(F.when(F.col("valid"), F.col("mileage"))).cast("bigint").alias("mileage"))
 

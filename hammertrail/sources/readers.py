@@ -15,18 +15,18 @@ def read_lots_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.LOTS_CSV).option("header", True).option("quote", '"').csv(path)
 
 
-def _raw(field: str) -> Column:
+def _raw(field: str, record: Column | str = "_v") -> Column:
     """JSON token of a field as text with its quotes, NULL when absent."""
-    return F.variant_get("_v", f"$.{field}", "variant")
+    return F.variant_get(record, f"$.{field}", "variant")
 
 
-def _kind(field: str) -> Column:
+def _kind(field: str, record: Column | str = "_v") -> Column:
     """STRING, BIGINT, DECIMAL(..), DOUBLE, BOOLEAN, ARRAY<..>, OBJECT<..>, VOID or NULL."""
-    return F.schema_of_variant(_raw(field))
+    return F.schema_of_variant(_raw(field, record))
 
 
-def _fits(field: str, kind: str) -> Column:
-    token = _kind(field)
+def _fits(field: str, kind: str, record: Column | str = "_v") -> Column:
+    token = _kind(field, record)
     if kind == "string":
         return token == "STRING"
     if kind == "boolean":
@@ -34,7 +34,7 @@ def _fits(field: str, kind: str) -> Column:
     if kind == "strings":
         return token.isin("ARRAY<STRING>", "ARRAY<VOID>")
     if kind == "coerced":
-        number = F.try_variant_get("_v", f"$.{field}", "string").try_cast("double")
+        number = F.try_variant_get(record, f"$.{field}", "string").try_cast("double")
         return number.isNotNull() | token.isin("VOID", "BOOLEAN")
     return token.rlike("^(BIGINT|DECIMAL|DOUBLE)")
 
@@ -53,18 +53,20 @@ def validate_details(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     required field, or holds a field of the wrong JSON kind: numbers and texts
     are not coerced into each other.
     """
-    rows = lines.withColumn("_v", F.try_parse_json("value"))
-    problems = []
-    for field, kind in S.DETAIL_FIELDS.items():
-        absent = _kind(field).isNull()
-        bad = F.coalesce(~_fits(field, kind), F.lit(False))
-        if field in S.DETAIL_REQUIRED:
-            bad = absent | bad
-        problems.append(F.when(bad, F.lit(field)))
-    issues = F.array_compact(F.array(*problems))
-    broken = F.col("_v").isNull()
-    rows = rows.withColumn("issues", F.when(broken, F.array(F.lit("json"))).otherwise(issues))
-    good = rows.filter(F.size("issues") == 0).select(
+
+    def issues(record: Column) -> Column:
+        problems = []
+        for field, kind in S.DETAIL_FIELDS.items():
+            bad = F.coalesce(~_fits(field, kind, record), F.lit(False))
+            if field in S.DETAIL_REQUIRED:
+                bad = _kind(field, record).isNull() | bad
+            problems.append(F.when(bad, F.lit(field)))
+        return F.when(record.isNull(), F.array(F.lit("json"))).otherwise(F.array_compact(F.array(*problems)))
+
+    # The filters below are evaluated on the text; the array of one keeps it from being parsed once for each field.
+    parsed = F.try_parse_json("value")
+    rows = lines.withColumn("issues", F.get(F.transform(F.array(parsed), issues), F.lit(0)))
+    good = rows.filter(F.size("issues") == 0).withColumn("_v", parsed).select(
         *[_value(f, k, S.DETAIL_DEFAULTS.get(f)).alias(f) for f, k in S.DETAIL_FIELDS.items()]
     )
     return good, rows.filter(F.size("issues") > 0).select("value", "issues")

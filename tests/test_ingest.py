@@ -140,3 +140,13 @@ def test_list_suppression_of_long_runs(spark, monkeypatch, run_rows):
                 at = us
                 want.add((row_id, v))
     assert set(map(tuple, N.list_suppression(df).collect())) == want
+
+
+def test_a_record_is_parsed_a_fixed_number_of_times(spark):
+    from hammertrail.sources import readers
+
+    good, rejects = readers.validate_details(spark.createDataFrame([("{}",)], "value string"))
+    for rows in (good.select("status"), rejects):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        # Once in the filter and once for the result, not once for each field.
+        assert plan.count("parseJson") <= 4
