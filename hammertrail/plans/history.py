@@ -34,6 +34,14 @@ class History:
     def chained(self) -> DataFrame:
         return self._once("chained", lambda: S.sessionise(self.snap, self.entity))
 
+    @property
+    def shared(self) -> DataFrame:
+        """``chained``, written once for the runs that read it several times."""
+        if "shared" not in self._cache:
+            # Whatever is built from here on, the passages among it, reads the written copy.
+            self._cache["shared"] = self._cache["chained"] = cut_lineage(self.chained)
+        return self._cache["shared"]
+
     @property
     def passages(self) -> DataFrame:
         """Passages with number, cutoff and navigation, written once."""
@@ -57,17 +65,17 @@ class History:
     @property
     def starts(self) -> DataFrame:
         return self._once(
-            "starts", lambda: S.price_trajectory(self.chained, self.evidence, self.entity)
+            "starts", lambda: S.price_trajectory(self.shared, self.evidence, self.entity)
         )
 
     @property
     def lives(self) -> DataFrame:
-        return self._once("lives", lambda: S.live_trajectory(self.chained, self.entity))
+        return self._once("lives", lambda: S.live_trajectory(self.shared, self.entity))
 
     @property
     def events(self) -> DataFrame:
         return S.event_navigation(
-            S.compress_events(self.chained, self.evidence, self.entity), self.passages, self.entity
+            S.compress_events(self.shared, self.evidence, self.entity), self.passages, self.entity
         )
 
     @property
@@ -76,7 +84,8 @@ class History:
 
     @property
     def price_history(self) -> DataFrame:
-        return E.price_history(self.kept, self.starts, self.lives, self.entity)
+        starts, lives = self.starts, self.lives
+        return E.price_history(self.kept, starts, lives, self.entity)
 
 
 def identity_history(entities: DataFrame, snap: DataFrame, newest_first: bool = False) -> tuple[DataFrame, History]:
