@@ -163,3 +163,26 @@ def test_equal_records_are_resolved_once(spark, monkeypatch):
     rows = I.resolve(frame(spark, [{"id": n, **record} for n in range(-10, 10)]), entities).collect()
     assert formed == [1]
     assert {(r["matched_by"], r["vehicle_id"]) for r in rows} == {("details", 5)} and len(rows) == 20
+
+
+def test_crowded_brands_form_no_pairs_by_mileage(spark, monkeypatch):
+    inputs = I.stored_as_incoming(frame(spark, cars(130, 7)), F.upper("brand"))
+    known = I.stored(frame(spark, cars(150, 8)), F.upper("brand"))
+    formed, pairs_of = [], I.candidate_pairs
+
+    def counted(*args):
+        pairs = pairs_of(*args)
+        formed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(I, "candidate_pairs", counted)
+    monkeypatch.setattr(I.nearest, "STRIP", 500)
+    names = ["i_" + c for c in inputs.columns], ["c_" + c for c in known.columns]
+    every = I.score_pairs(inputs.toDF(*names[0]).crossJoin(known.toDF(*names[1]))).select("i_id", "c_id", "score", "km_diff").collect()
+    best = {}
+    for r in sorted(every, key=lambda r: (r["score"], -r["c_id"])):
+        best[r["i_id"]] = (r["c_id"], r["score"], r["km_diff"])
+    found = I.best_candidates(inputs, known).collect()
+    assert {r["id"]: (r["vehicle_id"], r["score"], r["km_diff"]) for r in found} == best and len(found) == len(best)
+    # Marks and references only; all pairs that the score accepts are several times as many.
+    assert formed[0] < len(every) / 4
