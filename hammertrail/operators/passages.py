@@ -24,6 +24,11 @@ CANONICAL = ["status", "city", "source_url", "hash_id", "sale_date", "sold_price
 FIRST_KNOWN = ["sale_time", "center", "lot_number", "observations", "technical_check_url"]
 # Columns of the canonical snapshot taken over where the log has them.
 OPTIONAL = ["photo_urls", "has_screenshot"]
+# Columns that the number, the status and the prices of passages depend on.
+PRICED = [
+    "id", "vehicle_id", "reference", "hash_id", "city", "status", "sale_date", "scraped_at", "starting_price", "live_price",
+    "sold_price", "market_value", "new_price", "mileage",
+]
 
 # --- fixed values -----------------------------------------------------------
 OPEN_STABLE = "URL historique stable"
@@ -112,7 +117,7 @@ def _facts(chained: DataFrame, entity: str) -> DataFrame:
     presale = P.is_presale(F.col("status")) & price.isNotNull()
     real = presale & (price != P.PLACEHOLDER)
     bid = F.coalesce(live, F.lit(0)) > 0
-    payload = [c for c in CANONICAL if c != "scraped_at"]
+    payload = [c for c in CANONICAL if c != "scraped_at" and c in chained.columns]
     payload += [c for c in OPTIONAL if c in chained.columns]
     known = [c for c in FIRST_KNOWN if c in chained.columns]
     canon = F.struct(
@@ -214,7 +219,7 @@ def build_passages(chained: DataFrame, entity: str = "vehicle_id") -> DataFrame:
         entity, *PASSAGE, "bucket_first",
         date.alias("date"),
         canon["id"].alias("snapshot_id"),
-        *[canon[c].alias(c) for c in ["status", "city", "source_url", "hash_id", "scraped_at"]],
+        *[canon[c].alias(c) for c in ["status", "city", "source_url", "hash_id", "scraped_at"] if c in chained.columns],
         *[F.coalesce(canon[c], F.col("first_" + c)["v"]).alias(c) for c in known],
         *[canon[c].alias(c) for c in optional],
         F.coalesce(

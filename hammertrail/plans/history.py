@@ -54,6 +54,17 @@ class History:
             ),
         )
 
+    @property
+    def priced(self) -> DataFrame:
+        """Passages with their numbers, status and prices only, written once; no later step is made for their pages."""
+        cols = [
+            self.entity, *S.PASSAGE, "passage_no", "date", "status", "starting_price", "live_price", "sold_price", "traj_first",
+            "traj_moves", "live_first", "truncated",
+        ]
+        return self._once(
+            "priced", lambda: cut_lineage(S.final_sale_cut(S.build_passages(self.chained, self.entity), self.entity).select(*cols))
+        )
+
     @property
     def kept(self) -> DataFrame:
         return self.passages.filter(~F.col("truncated"))
@@ -93,20 +104,23 @@ def identity_history(entities: DataFrame, snap: DataFrame, newest_first: bool =
 
     Snapshots count for an entity through its id, reference or hash.
     """
-    named = L.history_reference(entities, snap, newest_first)
+    # Written once: each way to a snapshot, and most results, read it.
+    named = cut_lineage(L.history_reference(entities, snap, newest_first))
     return named, History(L.identity_union(named, snap), "entity_id")
 
 
 def history_summary(entities: DataFrame, snap: DataFrame) -> DataFrame:
-    """One flat row per entity: identity, counts and evolution."""
-    named, run = identity_history(entities, snap)
-    counts = run.passages.groupBy("entity_id").agg(
+    """One flat row per entity: identity, counts and evolution; snapshots are read without the facts of their pages."""
+    # Written once, since the entity, the reference and the hash each lead to snapshots by a join of their own.
+    named, run = identity_history(entities, cut_lineage(snap.select(*S.PRICED)))
+    evolution = E.evolution(run.priced.filter(~F.col("truncated")), "entity_id")
+    counts = run.priced.groupBy("entity_id").agg(
         F.count_if(~F.col("truncated")).alias("n_passages"),
         F.count_if(F.col("truncated")).alias("n_truncated"),
     )
     return (
         named.withColumnRenamed("id", "entity_id")
-        .join(counts, "entity_id").join(run.evolution, "entity_id")
+        .join(counts, "entity_id").join(evolution, "entity_id")
         .select(
             "entity_id", F.coalesce("reference", F.lit("")).alias("reference"),
             F.coalesce("hash_id", F.lit("")).alias("hash_id"), "brand", "model", "year",

@@ -144,3 +144,19 @@ def test_documents_nest_passages_and_points(spark, snaps):
     assert len(doc["passages"]) == 1 and len(doc["truncated_passages"]) == 1
     assert [p["price"] for p in doc["price_history"]] == [900, 1500]
     assert doc["evolution"]["evolution_amount"] == 600
+
+
+def test_summary_needs_no_facts_of_pages(spark, snaps):
+    from hammertrail.plans.history import history_summary
+
+    log = snaps(
+        {"h": 1, "starting_price": 900}, {"h": 30, "status": "unsold"}, {"h": 50, "sale_date": "2026-04-20", "starting_price": 800},
+        {"h": 60, "sale_date": "2026-04-20", "status": "sold", "sold_price": 950}, {"h": 90, "sale_date": "2026-05-02"},
+    ).withColumn("reference", F.lit("R1"))
+    entities = spark.createDataFrame([(1, "R1", "aa", "FORD", "Puma", "ST", 2023)], "id long, reference string, hash_id string, brand string, model string, version string, year long")
+    run = History(log)
+    assert run.priced.exceptAll(run.passages.select(*run.priced.columns)).isEmpty() and run.priced.count() == run.passages.count()
+    whole = history_summary(entities, log)
+    assert [tuple(r)[6:10] for r in whole.collect()] == [(2, 1, 1, 1)]
+    bare = history_summary(entities, log.select(*S.PRICED))
+    assert bare.collect() == whole.collect()
