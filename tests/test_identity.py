@@ -186,3 +186,37 @@ def test_crowded_brands_form_no_pairs_by_mileage(spark, monkeypatch):
     assert {r["id"]: (r["vehicle_id"], r["score"], r["km_diff"]) for r in found} == best and len(found) == len(best)
     # Marks and references only; all pairs that the score accepts are several times as many.
     assert formed[0] < len(every) / 4
+
+
+def _joins(frame):
+    """The plan that Spark has chosen at the end of a run."""
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sides_that_grow_are_not_collected_in_the_driver(spark, monkeypatch):
+    seen = []
+
+    def kept(frame):
+        seen.append(_joins(frame))
+        return frame.localCheckpoint()
+
+    monkeypatch.setattr(I, "cut_lineage", kept)
+    monkeypatch.setattr(I, "LOCAL_EDGES", 1)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 9)] + [(20, 21), (21, 22)], "src long, dst long")
+    found = {r["id"]: r["cluster"] for r in I.connected_components(edges).collect()}
+    assert found == {i: 1 for i in range(1, 10)} | {i: 20 for i in (20, 21, 22)}
+    links = spark.createDataFrame([("a", 1, "b", 9)], "a string, a_lo long, b string, b_hi long")
+    members = spark.createDataFrame([(1, "a"), (2, "a"), (9, "b"), (8, "b")], "id long, sig string")
+    expanded = I._expanded(links, members)
+    assert {tuple(r) for r in expanded.collect()} == {(1, 9), (1, 2), (8, 9)}
+    seen.append(_joins(expanded))
+    assert any("SortMergeJoin" in plan for plan in seen) and not any("Broadcast" in plan for plan in seen)
+
+
+def test_merge_mapping_collects_nothing_in_the_driver(spark):
+    clusters = spark.createDataFrame([(1, 1), (2, 1), (7, 7)], "id long, cluster long")
+    entities = spark.createDataFrame([(1, None), (2, "R2"), (7, None)], "id long, reference string")
+    mapping = I.merge_mapping(entities, clusters)
+    assert "Broadcast" not in _joins(mapping)
+    assert sorted(tuple(r) for r in mapping.select("old_id", "new_id").collect()) == [(1, 2), (2, 2), (7, 7)]
