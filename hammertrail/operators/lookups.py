@@ -138,9 +138,9 @@ def in_list(entities: DataFrame, hashes: DataFrame) -> DataFrame:
 def locate_passage(chained: DataFrame, passages: DataFrame, entity: str) -> DataFrame:
     """Passage number and passage total of every snapshot."""
     totals = passages.groupBy(entity).agg(F.count("*").alias("total_passages"))
-    return chained.join(
-        passages.select(entity, "bucket", "seq", "passage_no"), [entity, "bucket", "seq"]
-    ).join(totals, entity)
+    # Totals go to the passages first, which are fewer than the snapshots.
+    numbered = passages.select(entity, "bucket", "seq", "passage_no").join(totals, entity)
+    return chained.join(numbered, [entity, "bucket", "seq"])
 
 
 def first_known_price(snap: DataFrame, entity: str = "vehicle_id") -> DataFrame:

@@ -64,11 +64,20 @@ def sessionise(snap: DataFrame, entity: str = "vehicle_id") -> DataFrame:
     snapshots are therefore reduced to one row per listing and day, the rule
     is a window over those days, and the result is joined back.
     """
-    rows = (
+    return place(snap, listing_days(snap, entity), entity)
+
+
+def _listed(snap: DataFrame) -> DataFrame:
+    return (
         snap.withColumn("ord_date", order_date(F.col("sale_date"), F.col("scraped_at")))
         .withColumn("bucket", bucket_key(F.col("hash_id"), F.col("city"), F.col("ord_date")))
         .withColumn("_pos", F.struct("scraped_at", "id"))
     )
+
+
+def listing_days(snap: DataFrame, entity: str = "vehicle_id") -> DataFrame:
+    """One row per listing and day with the passage it falls into, see :func:`sessionise`."""
+    rows = _listed(snap)
     dated = blank_to_null(F.col("sale_date")).isNotNull()
     days = rows.groupBy(entity, "bucket", "ord_date").agg(
         F.min("_pos").alias("_first"),
@@ -79,16 +88,20 @@ def sessionise(snap: DataFrame, entity: str = "vehicle_id") -> DataFrame:
     earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
     is_dated = F.col("_first_dated").isNotNull()
     closed_before = F.last(F.when(is_dated, F.col("_closed")), ignorenulls=True).over(earlier)
-    days = (
+    return (
         days.withColumn("_opens", (is_dated & F.coalesce(closed_before, F.lit(False))).cast("int"))
         .withColumn("_seq", F.sum("_opens").over(by_day))
         .withColumn("bucket_first", F.min("_first").over(Window.partitionBy(entity, "bucket")))
         .select(entity, "bucket", "ord_date", "_first_dated", "_opens", "_seq", "bucket_first")
     )
+
+
+def place(snap: DataFrame, days: DataFrame, entity: str = "vehicle_id") -> DataFrame:
+    """Snapshots with the passage of their listing and day, see :func:`sessionise`."""
     # Undated rows scraped before the first dated row of the day stay behind it.
     behind = F.col("_first_dated").isNotNull() & (F.col("_pos") < F.col("_first_dated"))
     return (
-        rows.join(days, [entity, "bucket", "ord_date"])
+        _listed(snap).join(days, [entity, "bucket", "ord_date"])
         .withColumn("seq", F.col("_seq") - F.when(behind, F.col("_opens")).otherwise(F.lit(0)))
         .drop("_pos", "_first_dated", "_opens", "_seq")
     )
@@ -243,6 +256,20 @@ def build_passages(chained: DataFrame, entity: str = "vehicle_id") -> DataFrame:
     )
 
 
+def passage_numbers(chained: DataFrame, entity: str = "vehicle_id") -> DataFrame:
+    """(entity, bucket, seq, passage_no) as :func:`build_passages` numbers them, without any other fact of a passage."""
+    canon = F.struct(F.col("sold_price").isNull().alias("_unsold"), (-F.unix_micros("scraped_at")).alias("_age"), "ord_date", "id")
+    cells = chained.groupBy(entity, *PASSAGE, blank_to_null(F.col("sale_date")).alias("_date")).agg(
+        F.count("*").alias("_n"), F.min(canon).alias("canon"), F.min("bucket_first").alias("bucket_first")
+    )
+    mode = F.max(F.when(F.col("_date").isNotNull(), F.struct("_n", "_date")))["_date"]
+    rows = cells.groupBy(entity, *PASSAGE).agg(
+        F.coalesce(mode, F.min("canon")["ord_date"]).alias("date"), F.min("bucket_first").alias("bucket_first")
+    )
+    order = [F.col("date"), F.col("bucket_first"), F.col("seq")]
+    return positions(rows, [entity], F.col("date"), order, "passage_no").select(entity, *PASSAGE, "passage_no")
+
+
 def final_sale_cut(passages: DataFrame, entity: str = "vehicle_id") -> DataFrame:
     """Add ``cutoff`` (latest sold date) and ``truncated`` (strictly later)."""
     cutoff = passages.filter(F.col("status") == "sold").groupBy(entity).agg(F.max("date").alias("cutoff"))

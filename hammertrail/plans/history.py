@@ -209,9 +209,14 @@ def snapshot_view(snap: DataFrame) -> DataFrame:
         ).drop("_n")
     combos = cut_lineage(combos.withColumn("id", key("id")))
     runs = combos.select("id", F.col("vehicle_id").alias("_vehicle"), "reference", "hash_id").distinct()
-    run = History(L.identity_union(runs, snap), "entity_id")
-    mine = run.chained.withColumn("_own", key("_own")).join(combos.select("_own", F.col("id").alias("entity_id")), ["_own", "entity_id"])
-    return L.locate_passage(mine, run.passages, "entity_id").select(
+    union = L.identity_union(runs, snap)
+    days = cut_lineage(S.listing_days(union, "entity_id"))
+    numbers = cut_lineage(S.passage_numbers(S.place(union, days, "entity_id"), "entity_id"))
+    # A run holds all snapshots of its entity, so a snapshot is placed in the run of its own identity without the union.
+    own = snap.filter(F.col("vehicle_id").isNotNull()).withColumn("_own", key("_own")).join(
+        combos.select("_own", F.col("id").alias("entity_id")), "_own"
+    )
+    return L.locate_passage(S.place(own, days, "entity_id"), numbers, "entity_id").select(
         F.col("id").alias("snapshot_id"), "vehicle_id", "passage_no", "total_passages",
         "city", "center", "status", "sale_date", "sale_time",
     )

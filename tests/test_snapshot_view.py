@@ -46,3 +46,18 @@ def test_same_places_as_runs_of_every_identity(snap):
     expected = sorted(map(tuple, every.select("id", *places).collect()))
     assert sorted(map(tuple, H.snapshot_view(snap).select("snapshot_id", *places).collect())) == expected
     assert len(expected) == 36
+
+
+def test_places_need_no_facts_of_passages(snap, monkeypatch):
+    from hammertrail.operators import passages as S
+
+    chained = S.sessionise(snap)
+    cols = ["vehicle_id", "bucket", "seq", "passage_no"]
+    expected = sorted(map(tuple, S.build_passages(chained).select(*cols).collect()))
+    assert sorted(map(tuple, S.passage_numbers(chained).select(*cols).collect())) == expected
+
+    def build(*_):
+        raise AssertionError("all facts of the passages are shuffled and written")
+
+    monkeypatch.setattr(S, "build_passages", build)
+    assert H.snapshot_view(snap).count() == 36
